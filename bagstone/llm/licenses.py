@@ -126,12 +126,12 @@ def oracle() -> str:
         cut AS (
             SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:]+([ \\t])', chr(10) || '\\1', 'g'), '[\\r\\n]+') AS pieces FROM documents
         ), numbered AS (
-            SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS at FROM cut
+            SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM cut
         ), clean AS (
-            SELECT doc_id, at, ltrim(rtrim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.-]+', ' ', 'g'), '. ')) AS sentence
+            SELECT doc_id, pos, ltrim(rtrim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.-]+', ' ', 'g'), '. ')) AS sentence
             FROM numbered WHERE length(piece) BETWEEN {low} AND {high}
         ), found AS (
-            SELECT doc_id, string_agg(id, ',' ORDER BY at) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY at) AS rest FROM clean JOIN known USING (sentence) GROUP BY doc_id
+            SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY pos) AS rest FROM clean JOIN known USING (sentence) GROUP BY doc_id
         ), s0 AS (
             SELECT d.doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rest, '') AS rest FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
         ), {", ".join(steps)}

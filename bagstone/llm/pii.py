@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KEY = "change-me"
+P = "__pi_"
 
 #: Patterns of the kinds, tried in this order at each place. Fixed values.
 PATTERNS: dict[str, str] = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "day": r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?!\d)",
@@ -44,28 +45,40 @@ PATTERNS: dict[str, str] = {
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every value has one of these, and most texts have none.
+HINT = "[0-9@]"
 #: Days of a 400-year cycle of the calendar, 189 x 773.
 CYCLE = (189, 773)
 FIRST_DAY = "1800-01-01"
 
 
-def _hash(key: str, kind: str, step: int, other: Column) -> Column:
+def _hash(key: str, kind: str, step: Column, other: Column) -> Column:
     """48 bits."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(step)), other.cast("string")), 256), 1, 12), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), other.cast("string")), 256), 1, 12), 16, 10).cast("long")
 
 
-def permute(value: Column, a: int, b: int, key: str, kind: str, back: bool = False) -> Column:
-    """A keyed permutation of 0 .. a*b-1 (long), or its inverse. The halves are
-    threaded through one-element arrays, so each round is evaluated once."""
-    state = F.array(F.struct(F.floor(value / b).cast("long").alias("x"), F.pmod(value, F.lit(b)).cast("long").alias("y")))
+def _steps(back: bool) -> Column:
+    return F.array(*(F.lit(k) for k in range(ROUNDS)[:: -1 if back else 1]))
+
+
+def permute(value: Column, a: int | Column, b: int | Column, key: str, kind: str, back: bool = False) -> Column:
+    """A keyed permutation of 0 .. a*b-1 (long), or its inverse."""
+    a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
     sign = -1 if back else 1
-    for step in range(ROUNDS)[::sign]:
-        if step % 2 == 0:
-            turn = lambda s, step=step: F.struct(F.pmod(s.x + sign * F.pmod(_hash(key, kind, step, s.y), F.lit(a)), F.lit(a)).alias("x"), s.y.alias("y"))
-        else:
-            turn = lambda s, step=step: F.struct(s.x.alias("x"), F.pmod(s.y + sign * F.pmod(_hash(key, kind, step, s.x), F.lit(b)), F.lit(b)).alias("y"))
-        state = F.transform(state, turn)
-    return F.element_at(F.transform(state, lambda s: s.x * b + s.y), 1)
+
+    def turn(s: Column, step: Column) -> Column:
+        even = step % 2 == 0
+        drawn = _hash(key, kind, step, F.when(even, s.y).otherwise(s.x))
+        moved = lambda to, size: F.pmod(to + sign * F.pmod(drawn, size), size)
+        return F.struct(F.when(even, moved(s.x, a)).otherwise(s.x).alias("x"), F.when(even, s.y).otherwise(moved(s.y, b)).alias("y"))
+
+    start = F.struct(F.floor(value / b).cast("long").alias("x"), F.pmod(value, b).cast("long").alias("y"))
+    return F.aggregate(_steps(back), start, turn, lambda s: s.x * b + s.y)
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _digits(c: Column) -> Column:
@@ -79,7 +92,7 @@ def _poured(shape: Column, digits: Column) -> Column:
     end = F.aggregate(
         chars,
         F.element_at(starts, 1),
-        lambda acc, x: F.struct(F.concat(acc.out, F.when(x.rlike("^[0-9]$"), F.substring(digits, acc.at, 1)).otherwise(x)).alias("out"), F.when(x.rlike("^[0-9]$"), acc.at + 1).otherwise(acc["at"]).alias("at")),
+        lambda acc, x: F.struct(F.concat(acc.out, F.when(x.rlike("^[0-9]$"), F.substring(digits, acc["at"], F.lit(1))).otherwise(x)).alias("out"), F.when(x.rlike("^[0-9]$"), acc["at"] + 1).otherwise(acc["at"]).alias("at")),
     )
     return end.out
 
@@ -89,7 +102,7 @@ def luhn_sum(digits: Column) -> Column:
     at = F.sequence(F.lit(1), F.length(digits))
 
     def add(acc: Column, i: Column) -> Column:
-        d = F.substring(digits, -i, 1).cast("int")
+        d = F.substring(digits, -i, F.lit(1)).cast("int")
         double = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
         return acc + F.when(i % 2 == 0, double).otherwise(d)
 
@@ -103,16 +116,15 @@ def _padded(value: Column, width: Column) -> Column:
 def _card(c: Column, key: str, back: bool) -> Column:
     digits = _digits(c)
     n = F.length(digits)
-    # all but the first and the check digit; 11 to 17 of them, each length with its own permutation
-    middle = F.substring(digits, F.lit(2), n - 2)
-    mapped = F.lit(None).cast("string")
-    for k in range(11, 18):
-        half = k // 2
-        turned = permute(middle.cast("long"), 10 ** (k - half), 10**half, key, f"card{k}", back)
-        mapped = F.when(n == k + 2, F.lpad(turned.cast("string"), k, "0")).otherwise(mapped)
+    # all but the first and the check digit; the number of digits is part of what is hashed, through the sizes of the halves
+    k = n - 2
+    half = F.floor(k / 2)
+    power = lambda e: F.round(F.pow(F.lit(10.0), e)).cast("long")
+    turned = permute(F.substring(digits, F.lit(2), k).cast("long"), power(k - half), power(half), key, "card", back)
+    mapped = F.lpad(turned.cast("string"), k.cast("int"), F.lit("0"))
     body = F.concat(F.substring(digits, 1, 1), mapped)
-    check = (10 - luhn_sum(F.concat(body, F.lit("0")))) % 10
-    return F.when((luhn_sum(digits) == 0) & n.between(13, 19), _poured(c, F.concat(body, check.cast("string")))).otherwise(c)
+    whole = _let(body, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0")))) % 10).cast("string")))
+    return F.when((luhn_sum(digits) == 0) & n.between(13, 19), _poured(c, whole)).otherwise(c)
 
 
 def _phone(c: Column, key: str, back: bool) -> Column:
@@ -121,7 +133,7 @@ def _phone(c: Column, key: str, back: bool) -> Column:
     first = F.substring(ten, 1, 3).cast("long") - 200
     rest = F.substring(ten, 4, 7).cast("long") - 2_000_000
     turned = permute(first * 8_000_000 + rest, 800, 8_000_000, key, "phone", back)
-    number = F.concat((F.floor(turned / 8_000_000) + 200).cast("string"), (turned % 8_000_000 + 2_000_000).cast("string"))
+    number = _let(turned, lambda t: F.concat((F.floor(t / 8_000_000) + 200).cast("string"), (t % 8_000_000 + 2_000_000).cast("string")))
     country = F.when(F.length(digits) == 11, F.lit("1")).otherwise(F.lit(""))
     return _poured(c, F.concat(country, number))
 
@@ -133,11 +145,13 @@ def _ssn(c: Column, key: str, back: bool) -> Column:
     # 898 areas without 000, 666 and 900 up; 99 groups; 9999 serials
     index = (F.when(area > 666, area - 2).otherwise(area - 1)) * (99 * 9999) + (group - 1) * 9999 + serial - 1
     turned = permute(index, 898, 99 * 9999, key, "ssn", back)
-    place = F.floor(turned / (99 * 9999))
-    inner = turned % (99 * 9999)
-    number = F.concat(
-        F.lpad(F.when(place >= 665, place + 2).otherwise(place + 1).cast("string"), 3, "0"), F.lpad((F.floor(inner / 9999) + 1).cast("string"), 2, "0"), F.lpad((inner % 9999 + 1).cast("string"), 4, "0")
-    )
+
+    def spelled(t: Column) -> Column:
+        place, inner = F.floor(t / (99 * 9999)), t % (99 * 9999)
+        digits = ((F.when(place >= 665, place + 2).otherwise(place + 1), 3), (F.floor(inner / 9999) + 1, 2), (inner % 9999 + 1, 4))
+        return F.concat(*(F.lpad(x.cast("string"), n, "0") for x, n in digits))
+
+    number = _let(turned, spelled)
     return F.when(valid, _poured(c, number)).otherwise(c)
 
 
@@ -145,8 +159,8 @@ def _ipv4(c: Column, key: str, back: bool) -> Column:
     octets = F.transform(F.split(c, r"\."), lambda o: o.cast("long"))
     value = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
     turned = permute(value, 65536, 65536, key, "ipv4", back)
-    parts = [(F.floor(turned / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)]
-    return F.when(F.array_max(octets) <= 255, F.concat_ws(".", *parts)).otherwise(c)
+    spelled = _let(turned, lambda t: F.concat_ws(".", *((F.floor(t / 256**k) % 256).cast("string") for k in (3, 2, 1, 0))))
+    return F.when(F.array_max(octets) <= 255, spelled).otherwise(c)
 
 
 def _days(date: Column, key: str, kind: str, back: bool) -> Column:
@@ -178,9 +192,12 @@ def _walk(date: Column, key: str, back: bool) -> Column:
     base, size = 16, 400 * 12
     index = F.pmod(month, F.lit(size)) * base + F.dayofmonth(date) - 13
     turned = permute(index, size, base, key, "monthday", back)
-    moved = F.floor(month / size) * size + F.floor(turned / base)
-    new = F.make_date(F.floor(moved / 12).cast("int"), (moved % 12 + 1).cast("int"), (turned % base + 13).cast("int"))
-    return F.when(F.dayofmonth(date) > 28, date).otherwise(new)
+
+    def new(t: Column) -> Column:
+        moved = F.floor(month / size) * size + F.floor(t / base)
+        return F.make_date(F.floor(moved / 12).cast("int"), (moved % 12 + 1).cast("int"), (t % base + 13).cast("int"))
+
+    return F.when(F.dayofmonth(date) > 28, date).otherwise(_let(turned, new))
 
 
 def _email(c: Column, key: str, back: bool) -> Column:
@@ -188,27 +205,28 @@ def _email(c: Column, key: str, back: bool) -> Column:
     to each letter modulo 26 and each digit modulo 10 of one half."""
     local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
     half = F.floor(F.length(local) / 2).cast("int")
-    state = F.array(F.struct(F.substring(local, F.lit(1), half).alias("x"), F.substring(local, half + 1, F.length(local)).alias("y")))
     sign = -1 if back else 1
 
-    def shifted(part: Column, other: Column, step: int) -> Column:
-        stream = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"email{step}.{k}"), F.length(local).cast("string"), other), 256) for k in range(2)))
+    def shifted(part: Column, other: Column, step: Column) -> Column:
+        stream = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"email{k}"), step.cast("string"), F.length(local).cast("string"), other), 256) for k in range(2)))
 
         def one(i: Column) -> Column:
-            x = F.substring(part, i, 1)
+            x = F.substring(part, i, F.lit(1))
             code = F.ascii(x)
-            add = sign * F.conv(F.substring(stream, i * 4 - 3, 4), 16, 10).cast("int")
+            add = sign * F.conv(F.substring(stream, i * 4 - 3, F.lit(4)), 16, 10).cast("int")
             turn = lambda low, n: F.char(F.pmod(code - low + add, F.lit(n)) + low)
             return F.when(code.between(48, 57), turn(48, 10)).when(code.between(65, 90), turn(65, 26)).when(code.between(97, 122), turn(97, 26)).otherwise(x)
 
-        return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), one), ""))
+        # at least one place, which is empty where the part is
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), one), "")
+
+    def turn(s: Column, step: Column) -> Column:
+        even = step % 2 == 0
+        new = shifted(F.when(even, s.x).otherwise(s.y), F.when(even, s.y).otherwise(s.x), step)
+        return F.struct(F.when(even, new).otherwise(s.x).alias("x"), F.when(even, s.y).otherwise(new).alias("y"))
 
-    for step in range(ROUNDS)[::sign]:
-        if step % 2 == 0:
-            state = F.transform(state, lambda s, step=step: F.struct(shifted(s.x, s.y, step).alias("x"), s.y.alias("y")))
-        else:
-            state = F.transform(state, lambda s, step=step: F.struct(s.x.alias("x"), shifted(s.y, s.x, step).alias("y")))
-    return F.concat(F.element_at(F.transform(state, lambda s: F.concat(s.x, s.y)), 1), F.lit("@"), domain)
+    start = F.struct(F.substring(local, F.lit(1), half).alias("x"), F.substring(local, half + 1, F.length(local)).alias("y"))
+    return F.aggregate(_steps(back), start, turn, lambda s: F.concat(s.x, s.y, F.lit("@"), domain))
 
 
 _MAPS = {"email": _email, "ipv4": _ipv4, "date": _date, "day": _day, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -235,16 +253,20 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", back:
     number of values that were replaced."""
     text = F.col(f"`{text_col}`")
     matches = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
-    pairs = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, key, back).alias("new")))
-    gaps = F.split(text, ANY, -1)
-    # one gap more than matches
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.transform(pairs, lambda p: p.new).alias("new")), lambda z: F.array(z["gap"], F.coalesce(z["new"], F.lit(""))))), "")
-    has = text.rlike(ANY)
-    new = F.when(has, joined).otherwise(text)
-    if found_col is None:
-        return docs.withColumn(text_col, new)
-    count = F.coalesce(F.when(has, F.size(F.filter(pairs, lambda p: p.old != p.new))), F.lit(0))
-    return docs.withColumns({text_col: new, found_col: count.cast("long")})
+    mapped = F.transform(matches, lambda m: pseudonym(m, key, back))
+
+    def joined(new: Column) -> Column:
+        # one gap more than matches
+        parts = F.zip_with(F.split(text, ANY, -1), new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+        changed = F.zip_with(matches, new, lambda a, b: (a != b).cast("long"))
+        return F.struct(F.array_join(parts, "").alias("text"), F.aggregate(changed, F.lit(0).cast("long"), lambda n, x: n + x).alias("n"))
+
+    done = F.when(text.rlike(HINT) & text.rlike(ANY), _let(mapped, joined)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+    made = docs.withColumn(f"{P}done", done)
+    out = made.withColumn(text_col, F.col(f"{P}done.text"))
+    if found_col is not None:
+        out = out.withColumn(found_col, F.col(f"{P}done.n"))
+    return out.drop(f"{P}done")
 
 
 def compiled() -> re.Pattern[str]:

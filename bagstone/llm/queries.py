@@ -2,28 +2,90 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagstone.llm import exact_dedup, simhash
-from bagstone.llm.common import table
+from bagstone.llm import decontam, exact_dedup, licenses, packing, pii, quality, simhash, tokencounts, toxicity, urlfilter
+from bagstone.llm.common import scratch_root, table
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.fit(urlfilter.labelled_urls(spark)))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after the first batch, all documents, was committed twice."""
+    rollup = tokencounts.Rollup(spark, f"{scratch_root(spark)}/rollup-{uuid.uuid4().hex[:8]}")
+    deltas = tokencounts.inserts(tokencounts.counted(table(spark, sf_dir, "documents")))
+    rollup.commit("documents", deltas)
+    rollup.commit("documents", deltas)
+    return rollup.totals()
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="n_replaced")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_simhash": op4_simhash,
-    "op9_exact_dedup": op9_exact_dedup,
+    f.__name__: f
+    for f in (op1_license_scan, op2_packing, op3_url_filter, op4_simhash, op5_decontamination, op6_token_counts, op7_toxicity, op8_pii, op9_exact_dedup, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op5_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+        ), items AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[pos:pos + 9], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS pos FROM b WHERE len(w) > 0)
+        ), lengths AS (
+            SELECT DISTINCT n FROM items
+        ), grams AS (
+            SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM d, lengths WHERE len(w) >= n)
+        ), found AS (
+            SELECT doc_id, item_id, pos, g.n FROM grams g JOIN items i ON g.gram = i.gram AND g.n = i.n
+        ), words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM found) GROUP BY doc_id
+        ), owners AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN owners USING (doc_id)
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents

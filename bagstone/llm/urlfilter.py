@@ -34,7 +34,8 @@ RULES: list[tuple[str, str, str]] = [
 WIDTH = 4096
 GRAMS = (3, 4)
 MAX_LABELLED = 5_000
-BLOCK_FROM = 0.5
+#: Blocking takes more than a balance of odds: a wrong block loses a page for good.
+BLOCK_FROM = 0.8
 
 #: Words of unwanted and of ordinary hosts; the labelled table pairs them with
 #: the same paths and prefixes, so that only the words tell them apart.
@@ -77,13 +78,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], part:
 def slots(host: Column, path: Column, width: int = WIDTH) -> Column:
     """The distinct hashed n-grams of the host, then of the path, as 0-based
     slots; a leading and a closing mark make ends visible."""
-    grams = []
-    for kind, part in (("h", host), ("p", path)):
+
+    def grams(kind: str, part: Column, n: int) -> Column:
         marked = F.concat(F.lit("^"), part, F.lit("$"))
-        for n in GRAMS:
-            at = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
-            grams.append(F.transform(at, lambda i, m=marked, n=n, kind=kind: F.pmod(F.xxhash64(F.concat(F.lit(kind), F.substring(m, i, n))), F.lit(width)).cast("int")))
-    return F.array_distinct(F.concat(*grams))
+        at = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
+        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.concat(F.lit(kind), F.substring(marked, i, F.lit(n)))), F.lit(width)).cast("int"))
+
+    return F.array_distinct(F.concat(*(grams(kind, part, n) for kind, part in (("h", host), ("p", path)) for n in GRAMS)))
 
 
 def fit(labelled: DataFrame, width: int = WIDTH, rounds: int = 400, l2: float = 1e-4) -> tuple[list[float], float]:
