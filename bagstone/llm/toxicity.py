@@ -9,7 +9,7 @@ hashed. A text is rejected from an expected severity of `REJECT_FROM` on.
 Training: labels say toxic or not. The fit uses at most `MAX_LABELLED` labelled
 rows, those with the smallest hash of the id, and keeps the `MAX_FEATURES`
 features of the largest log-odds among those that enough rows have. Toxic rows
-are graded by how often features that only toxic rows have occur per 100 words:
+are graded by how many different features they have that only toxic rows have:
 grade 1 below the first cut, up to 3 from the second on. Thus the grades are
 weakly supervised, and the line between 0 and 1 is the label's own.
 
@@ -38,8 +38,11 @@ from bagstone.llm.common import text_bytes
 MAX_LABELLED = 8_000
 MAX_FEATURES = 4_096
 MIN_ROWS = 4
-GRADE_CUTS = (0.5, 2.0)
-REJECT_FROM = 0.5
+#: A word gives up to three features.
+GRADE_CUTS = (4, 10)
+#: A text with one telling word has an expected severity well below 1; clean
+#: ones lie within a few hundredths of 0.
+REJECT_FROM = 0.06
 P = "__tx_"
 _STRIP = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -75,21 +78,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text.as_py())
-            counts: dict[bytes, int] = {}
-            for w in words:
-                counts[w] = counts.get(w, 0) + 1
-            # a prefix counts once, a word as often as it occurs
-            rows.append((toxic, len(words), [(zlib.crc32(f), counts.get(f, 1)) for f in features_of(set(words))]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int32()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([np.array([h for h, _ in r[2]], np.uint32).tobytes() for r in rows], pa.binary()),
-                pa.array([np.array([n for _, n in r[2]], np.uint32).tobytes() for r in rows], pa.binary()),
-            ],
-            ["toxic", "n", "hashes", "counts"],
-        )
+            hashes = set(map(zlib.crc32, features_of(set(words_of(text.as_py())))))
+            rows.append((toxic, np.array(sorted(hashes), np.uint32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["toxic", "hashes"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -100,18 +91,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), text_bytes(text_col).alias("body"))
     # at most max_labelled small rows
     joined = rows.join(F.broadcast(some), "i").select("body", "y")
-    got = joined.mapInArrow(_extract, "toxic int, n long, hashes binary, counts binary").toArrow()
-    order = np.lexsort((np.array([zlib.crc32(h.as_py()) for h in got.column("hashes")]), got.column("n").to_numpy(), got.column("toxic").to_numpy()))
-    toxic = got.column("toxic").to_numpy()[order].astype(bool)
-    length = np.maximum(got.column("n").to_numpy()[order], 1)
+    got = joined.mapInArrow(_extract, "toxic int, hashes binary").toArrow().to_pydict()
+    # in one order, whatever order the rows came in
+    pairs = sorted(zip(got["toxic"], got["hashes"], strict=True))
+    del got
+    toxic = np.array([y for y, _ in pairs], bool)
     if not toxic.any() or toxic.all():
         return Model({}, np.zeros(0))
-    hashes = [np.frombuffer(got.column("hashes")[int(i)].as_py(), np.uint32) for i in order]
-    counts = [np.frombuffer(got.column("counts")[int(i)].as_py(), np.uint32) for i in order]
-    del got
+    hashes = [np.frombuffer(h, np.uint32) for _, h in pairs]
     row = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
-    flat, times = np.concatenate(hashes), np.concatenate(counts)
-    feature, column = np.unique(flat, return_inverse=True)
+    feature, column = np.unique(np.concatenate(hashes), return_inverse=True)
     in_toxic = np.bincount(column[toxic[row]], minlength=len(feature))
     in_clean = np.bincount(column[~toxic[row]], minlength=len(feature))
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic).sum() + 1))
@@ -119,32 +108,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     chosen = frequent[np.argsort(-np.abs(odds[frequent]), kind="stable")[:max_features]]
     only_toxic = np.zeros(len(feature), bool)
     only_toxic[chosen[(in_clean[chosen] == 0) & (in_toxic[chosen] >= MIN_ROWS)]] = True
-    rate = 100 * np.bincount(row[only_toxic[column]], weights=times[only_toxic[column]], minlength=len(hashes)) / length
-    grade = np.where(toxic, 1 + np.searchsorted(GRADE_CUTS, rate, "right"), 0)
+    variety = np.bincount(row[only_toxic[column]], minlength=len(hashes))
+    grade = np.where(toxic, 1 + np.searchsorted(GRADE_CUTS, variety, "right"), 0)
     place = np.full(len(feature), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
-    weights, thresholds = _descend(row[keep], place[column][keep], grade, len(hashes), len(chosen))
+    weights, thresholds = _descend(row[keep], place[column][keep], grade, len(hashes), np.abs(odds[chosen]))
     return Model({int(feature[c]): float(w) for c, w in zip(chosen, weights, strict=True) if w}, thresholds)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, rows: int, columns: int, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, rows: int, scale: np.ndarray, rounds: int = 300, l2: float = 1e-2, first: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """Proportional-odds likelihood by Adam; the gaps between thresholds are
     exponentials, so they stay in order. The cumulative logits are
-    fitted as independent binary losses with shared weights, and each class of
-    a threshold weighs as much as the other."""
-    levels = int(grade.max())
-    w = np.zeros(columns)
+    fitted as binary losses with shared weights, and each class of a threshold
+    weighs as much as the other. The first line, toxic or not, is the label's
+    own and weighs `first` times as much as the graded ones. A feature counts as much as its log-odds, so
+    that one telling word moves a text further than many that tell little."""
+    levels, columns = int(grade.max()), len(scale)
+    w, each = np.zeros(columns), scale[column]
     raw = np.concatenate([[2.0], np.full(levels - 1, 0.5)])
     above = grade[:, None] > np.arange(levels)[None, :]
     share = np.clip(above.mean(0), 1 / rows, 1 - 1 / rows)
     weight = np.where(above, 0.5 / share, 0.5 / (1 - share)) / rows
+    weight[:, 0] *= first
     m, v = np.zeros(columns + levels), np.zeros(columns + levels)
     for step in range(1, rounds + 1):
         b = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        eta = np.bincount(row, weights=w[column], minlength=rows)
+        eta = np.bincount(row, weights=w[column] * each, minlength=rows)
         off = weight * (1 / (1 + np.exp(np.clip(b[None, :] - eta[:, None], -50, 50))) - above)
-        gw = np.bincount(column, weights=off.sum(1)[row], minlength=columns) + l2 * w
+        gw = np.bincount(column, weights=off.sum(1)[row] * each, minlength=columns) + l2 * w
         gb = -off.sum(0)
         # the chain through the running sum of the gaps
         tail = np.cumsum(gb[::-1])[::-1]
@@ -153,7 +145,7 @@ def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, rows: int,
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:columns]
         raw -= move[columns:]
-    return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+    return w * scale, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
 def _kernel(model: Model):
