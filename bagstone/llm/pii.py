@@ -42,7 +42,7 @@ PATTERNS: dict[str, str] = {
     "day": r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)",
-    "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every value has one of these, and most texts have none.
