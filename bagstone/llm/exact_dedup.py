@@ -66,7 +66,16 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = DEFAULT_SALTS) -> DataFrame:
     """docs without copies: of equal texts one row with the smallest id stays."""
-    best = winners(docs, id_col, text_col, salts).select(F.col("keep_id").alias(f"{P}id"), F.col("digest").alias(f"{P}digest"))
-    rows = docs.withColumn(f"{P}own", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{P}id")) & (F.col(f"{P}own") == F.col(f"{P}digest"))
-    return rows.join(best, on, "left_semi").dropDuplicates([id_col, f"{P}own"]).drop(f"{P}own")
+    own = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
+    best = _with_key(winners(docs, id_col, text_col, salts).select("keep_id", "digest"), F.col("keep_id"), F.col("digest")).select(*KEY)
+    rows = _with_key(docs, F.col(f"`{id_col}`"), own)
+    # both steps deal by the same columns, so the texts move once
+    return rows.join(best, KEY, "left_semi").dropDuplicates(KEY).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+KEY = [f"{P}id", f"{P}null", f"{P}digest"]
+
+
+def _with_key(df: DataFrame, i: Column, digest: Column) -> DataFrame:
+    """Plain columns that are equal where id and digest are, nulls included."""
+    return df.withColumns(dict(zip(KEY, (F.coalesce(i.cast("long"), F.lit(0)), i.isNull(), digest), strict=True)))

@@ -132,6 +132,11 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
     """docs with the row of the smallest id of each component; of repeated ids
     one row stays."""
-    stay = assign(docs, id_col, text_col, size, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{P}id")).distinct()
-    rows = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{P}id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    i = F.col("doc_id")
+    stay = assign(docs, id_col, text_col, size, radius).where(i.eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.coalesce(i, F.lit(0)).alias(f"{P}id"), i.isNull().alias(f"{P}null")).distinct()
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = docs.withColumns({f"{P}id": F.coalesce(own, F.lit(0)), f"{P}null": own.isNull()})
+    # both steps deal by the same columns, so the texts move once
+    left = rows.join(stay, [f"{P}id", f"{P}null"], "left_semi").dropDuplicates([f"{P}id", f"{P}null"])
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
