@@ -31,10 +31,16 @@ def normalised(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " ")
 
 
+def digest(body: Column) -> Column:
+    """SHA-256 in hex. Said not to be null, or joins would compute it again to
+    test that."""
+    return F.coalesce(F.sha2(body, 256), F.lit(""))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(f"`{id_col}`").alias("id"), normalised(F.col(f"`{text_col}`")).alias("body")
-    ).withColumn("digest", F.sha2("body", 256))
+    ).withColumn("digest", digest(F.col("body")))
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = DEFAULT_SALTS) -> DataFrame:
@@ -66,7 +72,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = DEFAULT_SALTS) -> DataFrame:
     """docs without copies: of equal texts one row with the smallest id stays."""
-    own = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
+    own = digest(normalised(F.col(f"`{text_col}`")))
     best = _with_key(winners(docs, id_col, text_col, salts).select("keep_id", "digest"), F.col("keep_id"), F.col("digest")).select(*KEY)
     rows = _with_key(docs, F.col(f"`{id_col}`"), own)
     # both steps deal by the same columns, so the texts move once
