@@ -12,6 +12,16 @@ rest the link test is exact and linear: at radius 2 each of them is sent to itse
 differ in 2 bits or fewer, and everything that meets there is linked, so a star
 replaces all pairs; a centre has at most 65 members by construction.
 
+Wider links (`wide`, `similarity`; the pipeline's stage uses them): near copies
+mostly differ in more than 2 bits, so candidates up to `wide` bits are looked for
+too, with that radius's tables, and a link counts if the word shingles of both
+texts (five words) have an estimated Jaccard similarity of 0.8 or more. The
+estimate is by the `SKETCH` smallest shingle hashes of each text, and exact for
+texts with no more shingles. In each bucket every member is held against one
+hub, drawn anew for each table, so a bucket of any size costs one row per
+member. A pair in a bucket of two is always tested; in larger ones pairs may be
+linked through a hub or through other tables. Links within 2 bits stay exact.
+
 Defined cases: null and empty texts, or texts without words, have fingerprint
 zero and are linked like any other. Fewer words than a shingle: the whole
 sequence is one shingle. Repeated rows give one result row each. An empty table
@@ -22,6 +32,7 @@ all ids of the component are null.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +46,8 @@ from bagstone.llm.components import connected
 
 BITS = 64
 SEED = 42
+SKETCH = 64
+SIMILAR_SIZE = 5
 P = "__sh_"
 #: Which of 8 bits each byte value has set.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -64,21 +77,41 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(ones.ravel() * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def _kernel(size: int):
+def sketch(text: bytes, size: int = SIMILAR_SIZE, keep: int = SKETCH) -> bytes:
+    """The smallest distinct shingle hashes of a text, ascending, as bytes."""
+    words = text.lower().split()
+    joined = [b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in joined), np.uint64, len(joined)))
+    return hashes[:keep].tobytes()
+
+
+def estimate(a: bytes, b: bytes, keep: int = SKETCH) -> float:
+    """Jaccard similarity by two sketches; two empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.union1d(x, y)[:keep]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
+
+
+def _kernel(size: int, sketched: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = [t.as_py() for t in batch.column(1)]
+            fps = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts))
+            columns = {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
+            if sketched:
+                columns["sketch"] = pa.array([sketch(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id, fp (the unsigned value in a signed long) for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, sketched: bool = False) -> DataFrame:
+    """doc_id, fp (the unsigned value in a signed long), and the sketch where
+    it is asked for, for every row."""
     if size < 1:
         raise ValueError("a shingle has at least one word")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(_kernel(size), "doc_id long, fp long")
+    return rows.mapInArrow(_kernel(size, sketched), "doc_id long, fp long" + ", sketch binary" * sketched)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -114,11 +147,41 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            yield batch.filter(pa.array([estimate(a.as_py(), b.as_py()) >= similarity for a, b in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
+
+    return run
+
+
+def wide_links(owned: DataFrame, fps: DataFrame, wide: int, similarity: float, beyond: int = 2, seed: int = 11) -> DataFrame:
+    """Edges a, b of over `beyond` and at most `wide` bits whose texts are as
+    similar as asked. owned: fp, sketch; fps: the distinct fp."""
+    draw = random.Random(seed)
+    keys = [F.lit(_signed(draw.getrandbits(64))) for _ in covering_masks(wide)]
+    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k"), F.col("fp").bitwiseXOR(key).alias("rank")) for t, (m, key) in enumerate(zip(covering_masks(wide), keys, strict=True))]
+    dealt = fps.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.k", "x.rank")
+    hubs = dealt.groupBy("t", "k").agg(F.min("rank").alias("hub"), F.max("rank").alias("last")).where("hub < last")
+    hubs = materialise(hubs.select("t", "k", F.col("hub").bitwiseXOR(F.element_at(F.array(*keys), F.col("t") + 1)).alias("b")), "hubs")
+    met = dealt.join(hubs, ["t", "k"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))).between(beyond + 1, wide))
+    pairs = materialise(met.select(F.col("fp").alias("a"), "b").distinct(), "pairs")
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
+    sketches = materialise(owned.select("fp", "sketch").join(materialise(named, "named"), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")
+    first = pairs.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a")
+    whole = first.join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+    return whole.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long")
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
     """A row per input row: doc_id, fingerprint (16 hex digits), component_id."""
-    owned = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    owned = materialise(fingerprints(docs, id_col, text_col, size, wide is not None), "fingerprints")
     fps = materialise(owned.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    labels = connected(links(fps, radius))
+    edges = links(fps, radius)
+    if wide is not None:
+        edges = edges.union(wide_links(owned, fps, wide, similarity, radius))
+    labels = connected(edges)
     if labels is None:
         home = fps.select("fp", F.col("rep").alias("component_id"))
     else:
@@ -129,11 +192,11 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return owned.join(home, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
     """docs with the row of the smallest id of each component; of repeated ids
     one row stays."""
     i = F.col("doc_id")
-    stay = assign(docs, id_col, text_col, size, radius).where(i.eqNullSafe(F.col("component_id")))
+    stay = assign(docs, id_col, text_col, size, radius, wide, similarity).where(i.eqNullSafe(F.col("component_id")))
     stay = stay.select(F.coalesce(i, F.lit(0)).alias(f"{P}id"), i.isNull().alias(f"{P}null")).distinct()
     own = F.col(f"`{id_col}`").cast("long")
     rows = docs.withColumns({f"{P}id": F.coalesce(own, F.lit(0)), f"{P}null": own.isNull()})

@@ -84,6 +84,7 @@ def test_near_groups(docs, rows, empty):
     assert simhash.assign(empty).count() == 0
     left = simhash.drop_near(docs)
     assert left.columns == docs.columns
+    assert simhash.assign(docs, wide=5).count() == len(rows) and simhash.assign(empty, wide=5).count() == 0
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted({c for _, _, c in want}, key=str)
 
 
@@ -117,6 +118,62 @@ def test_links_connect_the_same_sets(spark, radius):
     assert all(len(v) == 1 for v in ours.values()) and len(ours) == len(set(want))
 
 
+def shingles(text, size=5):
+    words = text.lower().split()
+    return {" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def test_sketches_estimate_similarity():
+    draw = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    for edits in (0, 1, 4, 12, 60):
+        a = draw.choices(words, k=400)
+        b = list(a)
+        for k in draw.sample(range(400), edits):
+            b[k] = "changed"
+        x, y = " ".join(a), " ".join(b)
+        true = len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+        assert abs(simhash.estimate(simhash.sketch(x.encode()), simhash.sketch(y.encode())) - true) < 0.2
+    short = [b"a b c d e f g", b"a b c d e f h"]
+    assert simhash.estimate(*map(simhash.sketch, short)) == 0.5
+    assert simhash.estimate(b"", b"") == 1 and simhash.estimate(simhash.sketch(b"a"), b"") == 0
+
+
+def test_wide_links_find_edited_copies(spark):
+    draw, texts, groups = random.Random(8), [], []
+    words = [f"word{k}" for k in range(5000)]
+    for g in range(40):
+        base = draw.choices(words, k=300)
+        for c in range(1 + g % 4):
+            copy = list(base)
+            for k in draw.sample(range(300), c):
+                copy[k] = draw.choice(words)
+            texts.append(" ".join(copy))
+            groups.append(g)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.assign(docs, wide=5).collect()}
+    narrow = {r["doc_id"]: r["component_id"] for r in simhash.assign(docs).collect()}
+    # nothing joins across groups, what 2 bits join stays joined, and most edited copies are found
+    assert all(groups[i] == groups[c] for i, c in got.items())
+    assert all(got[i] == got[c] for i, c in narrow.items())
+    copies = [i for i in got if i and groups[i] == groups[i - 1]]
+    assert sum(got[i] != i for i in copies) > 0.7 * len(copies) > sum(narrow[i] != i for i in copies)
+    assert simhash.drop_near(docs, wide=5).count() == len(set(got.values()))
+
+
+def test_a_large_near_group_is_one(spark):
+    """One base text with one word changed in each of many copies."""
+    draw = random.Random(4)
+    base = [f"word{k}" for k in range(400)]
+    rows = []
+    for i in range(500):
+        copy = list(base)
+        copy[draw.randrange(400)] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    got = simhash.assign(spark.createDataFrame(rows, "doc_id long, text string"), wide=5).groupBy("component_id").count().collect()
+    assert max(r["count"] for r in got) > 450
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(edges=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, edges):
