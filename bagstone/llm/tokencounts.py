@@ -111,7 +111,7 @@ class Rollup:
 
     def _publish(self, folder: str, deltas: DataFrame, replaces: list[str]) -> bool:
         fs, aside = self._fs(), f"_aside-{uuid.uuid4().hex}"
-        _sums(deltas).where(_not_zero()).coalesce(1).write.parquet(f"{self.root}/{aside}/sums")
+        _sums(deltas).where(_not_zero()).repartition(1).write.parquet(f"{self.root}/{aside}/sums")
         if replaces:
             out = fs.create(self._path(f"{aside}/replaces.json"), True)
             out.write(bytearray(json.dumps(replaces).encode()))
