@@ -4,7 +4,9 @@ Model: P(grade > k) = sigmoid(w.x - b_k) for ordered thresholds b_0 < b_1 < ...
 with one weight vector w for all of them; the score of a text is the expected
 severity, the sum of those probabilities. x is sparse: 1 for each feature that
 a text has, where features are its words and their first four and five bytes,
-hashed. A text is rejected from an expected severity of `REJECT_FROM` on.
+hashed. A text is rejected from the expected severity on that parts the fit's
+toxic rows from its clean ones best, the two classes weighing the same; a text
+without features never is.
 
 Training: labels say toxic or not. The fit uses at most `MAX_LABELLED` labelled
 rows, those with the smallest hash of the id, and keeps the `MAX_FEATURES`
@@ -14,7 +16,7 @@ grade 1 below the first cut, up to 3 from the second on. Thus the grades are
 weakly supervised, and the line between 0 and 1 is the label's own.
 
 Defined cases: null and empty texts have no features and the severity of the
-thresholds alone, near 0. Labels that are null, or of documents that are
+thresholds alone, near 0, and are never rejected. Labels that are null, or of documents that are
 missing, are not used; repeated labels of a row count once each. Without both
 classes among the labels every severity is 0. Repeated rows give one result row
 each. ``score`` reads only the id and text columns; ``drop_toxic`` returns all
@@ -40,9 +42,6 @@ MAX_FEATURES = 4_096
 MIN_ROWS = 4
 #: A word gives up to three features.
 GRADE_CUTS = (4, 10)
-#: A text with one telling word has an expected severity well below 1; clean
-#: ones lie within a few hundredths of 0.
-REJECT_FROM = 0.06
 P = "__tx_"
 _STRIP = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -57,10 +56,16 @@ def features_of(words: set[bytes]) -> set[bytes]:
 
 @dataclass
 class Model:
-    """weights: hash of a feature -> weight; thresholds ascend."""
+    """weights: hash of a feature -> weight; thresholds ascend; a severity of
+    at least reject_from is too much."""
 
     weights: dict[int, float]
     thresholds: np.ndarray
+    reject_from: float = float("inf")
+
+    def expected(self, eta: float) -> np.ndarray:
+        """The probabilities of being over each threshold."""
+        return 1 / (1 + np.exp(np.clip(self.thresholds - eta, -50, 50)))
 
     def severity(self, text: bytes) -> tuple[float, int]:
         """Expected severity and the likeliest grade."""
@@ -69,7 +74,7 @@ class Model:
         found = self.weights.keys() & set(map(zlib.crc32, features_of(set(words_of(text)))))
         # in one order, as the sum's last digits depend on it
         eta = sum(sorted(self.weights[h] for h in found))
-        over = 1 / (1 + np.exp(np.clip(self.thresholds - eta, -50, 50)))
+        over = self.expected(eta)
         share = np.diff(np.concatenate([[0.0], 1 - over, [1.0]]))
         return float(over.sum()), int(share.argmax())
 
@@ -114,7 +119,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
     weights, thresholds = _descend(row[keep], place[column][keep], grade, len(hashes), np.abs(odds[chosen]))
-    return Model({int(feature[c]): float(w) for c, w in zip(chosen, weights, strict=True) if w}, thresholds)
+    model = Model({int(feature[c]): float(w) for c, w in zip(chosen, weights, strict=True) if w}, thresholds)
+    eta = np.bincount(row[keep], weights=weights[place[column][keep]], minlength=len(hashes))
+    model.reject_from = float(model.expected(_cut(eta, toxic)).sum())
+    return model
+
+
+def _cut(eta: np.ndarray, toxic: np.ndarray) -> float:
+    """Where the rates of both errors add up to least. Of that gap a quarter is
+    left to the clean side, as toxic texts with one telling word lie further
+    down than those of the fit. Over 0, the value without features."""
+    order = np.argsort(eta, kind="stable")
+    x, y = eta[order], toxic[order]
+    missed = np.concatenate([[0], np.cumsum(y)]) / y.sum()
+    wrong = 1 - np.concatenate([[0], np.cumsum(~y)]) / (~y).sum()
+    gap = np.concatenate([[True], x[1:] > x[:-1], [True]])
+    at = int(np.argmin(np.where(gap, missed + wrong, 9)))
+    low, high = x[max(at - 1, 0)], x[min(at, len(x) - 1)]
+    return max(low + (high - low) / 4, 1e-6)
 
 
 def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, rows: int, scale: np.ndarray, rounds: int = 300, l2: float = 1e-2, first: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
@@ -157,17 +179,19 @@ def _kernel(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_from: float = REJECT_FROM) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_from: float | None = None) -> DataFrame:
     """A row per input row: doc_id, severity, grade, rejected."""
+    least = model.reject_from if reject_from is None else reject_from
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(_kernel(model), "doc_id long, severity double, grade int").withColumn("rejected", F.col("severity") >= reject_from)
+    return rows.mapInArrow(_kernel(model), "doc_id long, severity double, grade int").withColumn("rejected", F.col("severity") >= least)
 
 
-def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_from: float = REJECT_FROM) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_from: float | None = None) -> DataFrame:
     """docs without the rejected ones; no shuffle."""
+    least = model.reject_from if reject_from is None else reject_from
 
     @F.pandas_udf(T.DoubleType())
     def severity(body):
         return body.map(lambda t: model.severity(bytes(t))[0]).astype(float)
 
-    return docs.where(severity(text_bytes(text_col)) < reject_from)
+    return docs.where(severity(text_bytes(text_col)) < least)

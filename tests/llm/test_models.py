@@ -40,7 +40,8 @@ def test_toxicity(corpus, docs, empty, rows):
     # more bad words, more severity
     clean = " ".join(WORDS[:50]).encode()
     by_count = [model.severity(clean + b" " + " ".join(BAD[:n]).encode())[0] for n in (0, 1, 3, 5)]
-    assert by_count == sorted(by_count) and by_count[0] < toxicity.REJECT_FROM < 1 < by_count[-1]
+    assert by_count == sorted(by_count) and by_count[0] < model.reject_from < 1 < by_count[-1]
+    assert model.severity(b"")[0] < model.reject_from
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
     assert toxicity.score(docs, model).count() == len(rows) and toxicity.score(empty, model).count() == 0
 
