@@ -95,11 +95,11 @@ def estimate(a: bytes, b: bytes, keep: int = SKETCH) -> float:
 def _kernel(size: int, sketched: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            fps = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts))
+            body = batch.column(1)
+            fps = np.fromiter((fingerprint(t.as_py(), size) for t in body), np.uint64, len(body))
             columns = {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
             if sketched:
-                columns["sketch"] = pa.array([sketch(t) for t in texts], pa.binary())
+                columns["sketch"] = pa.array([sketch(t.as_py()) for t in body], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
