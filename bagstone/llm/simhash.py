@@ -14,10 +14,10 @@ replaces all pairs; a centre has at most 65 members by construction.
 
 Wider links (`wide`, `similarity`; the pipeline's stage uses them): near copies
 mostly differ in more than 2 bits, so candidates up to `wide` bits are looked for
-too, with that radius's tables, and a link counts if the word shingles of both
-texts (five words) have an estimated Jaccard similarity of 0.8 or more. The
-estimate is by the `SKETCH` smallest shingle hashes of each text, and exact for
-texts with no more shingles. In each bucket every member is held against one
+too, with that radius's tables, and a link counts if the word shingles (five
+words) of a text of either fingerprint have a Jaccard similarity of 0.8 or more.
+Every distinct text of a candidate fingerprint is compared, by the hashes of all
+its shingles; only pairs whose numbers of shingles rule 0.8 out are spared. In each bucket every member is held against one
 hub, drawn anew for each table, so a bucket of any size costs one row per
 member. A pair in a bucket of two is always tested; in larger ones pairs may be
 linked through a hub or through other tables. Links within 2 bits stay exact.
@@ -32,6 +32,7 @@ all ids of the component are null.
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 
@@ -53,6 +54,8 @@ P = "__sh_"
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BLOCK = 1 << 16
+#: Texts whose shingle sets are held at a time.
+_ROWS = 256
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -77,41 +80,48 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(ones.ravel() * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def sketch(text: bytes, size: int = SIMILAR_SIZE, keep: int = SKETCH) -> bytes:
-    """The smallest distinct shingle hashes of a text, ascending, as bytes."""
+def sketch(text: bytes, size: int = SIMILAR_SIZE, keep: int | None = SKETCH) -> bytes:
+    """The smallest distinct shingle hashes of a text, ascending, as bytes; all
+    of them where keep is None."""
     words = text.lower().split()
     joined = [b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
     hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in joined), np.uint64, len(joined)))
     return hashes[:keep].tobytes()
 
 
-def estimate(a: bytes, b: bytes, keep: int = SKETCH) -> float:
-    """Jaccard similarity by two sketches; two empty ones are equal."""
+def estimate(a: bytes, b: bytes, keep: int | None = SKETCH) -> float:
+    """Jaccard similarity by two sketches, exact by whole ones where keep is
+    None; two empty ones are equal."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.union1d(x, y)[:keep]
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
 
 
-def _kernel(size: int, sketched: bool):
+def _kernel(size: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = batch.column(1)
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in body), np.uint64, len(body))
             columns = {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
-            if sketched:
-                columns["sketch"] = pa.array([sketch(t.as_py()) for t in body], pa.binary())
+            if keyed:
+                columns["digest"] = pa.array([hashlib.sha256(t.as_py()).digest() for t in body], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, sketched: bool = False) -> DataFrame:
-    """doc_id, fp (the unsigned value in a signed long), and the sketch where
-    it is asked for, for every row."""
+def text_digest(text_col: str = "text") -> Column:
+    """SHA-256 of the text, as `fingerprints` has it."""
+    return F.unhex(F.sha2(text_bytes(text_col), 256))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the unsigned value in a signed long), and the digest of the
+    text where it is asked for, for every row."""
     if size < 1:
         raise ValueError("a shingle has at least one word")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(_kernel(size, sketched), "doc_id long, fp long" + ", sketch binary" * sketched)
+    return rows.mapInArrow(_kernel(size, keyed), "doc_id long, fp long" + ", digest binary" * keyed)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -147,18 +157,42 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            sets = [sketch(t.as_py(), keep=None) for t in part.column(2)]
+            yield pa.RecordBatch.from_pydict({"fp": part.column(0), "digest": part.column(1), "n": pa.array([len(x) // 8 for x in sets], pa.int64()), "hashes": pa.array(sets, pa.binary())})
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            yield batch.filter(pa.array([estimate(a.as_py(), b.as_py()) >= similarity for a, b in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
+            yield batch.filter(pa.array([estimate(a.as_py(), b.as_py(), None) >= similarity for a, b in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
 
     return run
 
 
-def wide_links(owned: DataFrame, fps: DataFrame, wide: int, similarity: float, beyond: int = 2, seed: int = 11) -> DataFrame:
+def similar(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of fingerprints that have a text each (texts: fp, digest,
+    distinct) of the similarity asked for."""
+    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "named")
+    wanted = materialise(texts.join(named, "fp", "left_semi"), "wanted")
+    bodies = docs.select(text_bytes(text_col).alias("body"), text_digest(text_col).alias("digest")).join(wanted, "digest")
+    one = bodies.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("body").alias("body")).select("fp", "digest", "body")
+    sets = materialise(one.mapInArrow(_shingle_sets, "fp long, digest binary, n long, hashes binary"), "sets")
+    sizes = pairs.join(sets.select(F.col("fp").alias("a"), F.col("digest").alias("x"), F.col("n").alias("nx")), "a").join(sets.select(F.col("fp").alias("b"), F.col("digest").alias("y"), F.col("n").alias("ny")), "b")
+    # the similarity is at most the smaller size over the larger one
+    able = materialise(sizes.where(F.least("nx", "ny") / F.greatest("nx", "ny") >= similarity).select("a", "b", "x", "y"), "able")
+    first = able.join(sets.select(F.col("digest").alias("x"), F.col("hashes").alias("hx")), "x")
+    whole = first.join(sets.select(F.col("digest").alias("y"), F.col("hashes").alias("hy")), "y")
+    return materialise(whole.select("a", "b", "hx", "hy").mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
+
+
+def wide_links(docs: DataFrame, text_col: str, owned: DataFrame, fps: DataFrame, wide: int, similarity: float, beyond: int = 2, seed: int = 11) -> DataFrame:
     """Edges a, b of over `beyond` and at most `wide` bits whose texts are as
-    similar as asked. owned: fp, sketch; fps: the distinct fp."""
+    similar as asked. owned: fp, digest; fps: the distinct fp."""
     draw = random.Random(seed)
     keys = [F.lit(_signed(draw.getrandbits(64))) for _ in covering_masks(wide)]
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k"), F.col("fp").bitwiseXOR(key).alias("rank")) for t, (m, key) in enumerate(zip(covering_masks(wide), keys, strict=True))]
@@ -167,11 +201,8 @@ def wide_links(owned: DataFrame, fps: DataFrame, wide: int, similarity: float, b
     hubs = materialise(hubs.select("t", "k", F.col("hub").bitwiseXOR(F.element_at(F.array(*keys), F.col("t") + 1)).alias("b")), "hubs")
     met = dealt.join(hubs, ["t", "k"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))).between(beyond + 1, wide))
     pairs = materialise(met.select(F.col("fp").alias("a"), "b").distinct(), "pairs")
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    sketches = materialise(owned.select("fp", "sketch").join(materialise(named, "named"), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")
-    first = pairs.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a")
-    whole = first.join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long")
+    texts = owned.select("fp", "digest").distinct()
+    return similar(docs, text_col, texts, pairs, similarity)
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
@@ -180,7 +211,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     fps = materialise(owned.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(fps, radius)
     if wide is not None:
-        edges = edges.union(wide_links(owned, fps, wide, similarity, radius))
+        edges = edges.union(wide_links(docs, text_col, owned, fps, wide, similarity, radius))
     labels = connected(edges)
     if labels is None:
         home = fps.select("fp", F.col("rep").alias("component_id"))

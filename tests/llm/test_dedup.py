@@ -161,6 +161,32 @@ def test_wide_links_find_edited_copies(spark):
     assert simhash.drop_near(docs, wide=5).count() == len(set(got.values()))
 
 
+def edited(base, edits, seed):
+    """Copies of one text until one has a fingerprint 3 to 5 bits away."""
+    home = simhash.fingerprint(" ".join(base).encode())
+    for k in range(seed, seed + 4000):
+        draw, copy = random.Random(k), list(base)
+        for at in draw.sample(range(len(base)), edits):
+            copy[at] = f"new{k}x{at}"
+        if 3 <= (home ^ simhash.fingerprint(" ".join(copy).encode())).bit_count() <= 5:
+            return " ".join(copy)
+    raise AssertionError("no such copy")
+
+
+def test_wide_links_decide_by_whole_texts(spark):
+    """Pairs on both sides of 0.8; sketches misjudge some of them."""
+    words, texts = [f"word{k}" for k in range(5000)], []
+    for g, edits in enumerate([6, 7, 8, 9, 10, 11] * 5):
+        base = random.Random(g).choices(words, k=350)
+        texts += [" ".join(base), edited(base, edits, 10_000 * g)]
+    exact = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert any(exact) and not all(exact)
+    sketched = [simhash.estimate(simhash.sketch(a.encode()), simhash.sketch(b.encode())) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sketched != exact
+    got = {r["doc_id"]: r["component_id"] for r in simhash.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wide=5).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(len(exact))] == exact
+
+
 def test_a_large_near_group_is_one(spark):
     """One base text with one word changed in each of many copies."""
     draw = random.Random(4)
