@@ -17,10 +17,13 @@ mostly differ in more than 2 bits, so candidates up to `wide` bits are looked fo
 too, with that radius's tables, and a link counts if the word shingles (five
 words) of a text of either fingerprint have a Jaccard similarity of 0.8 or more.
 Every distinct text of a candidate fingerprint is compared, by the hashes of all
-its shingles; only pairs whose numbers of shingles rule 0.8 out are spared. In each bucket every member is held against one
-hub, drawn anew for each table, so a bucket of any size costs one row per
-member. A pair in a bucket of two is always tested; in larger ones pairs may be
-linked through a hub or through other tables. Links within 2 bits stay exact.
+its shingles; only pairs whose numbers of shingles rule 0.8 out are spared. The
+components are those of all such pairs. First every bucket member is held
+against one hub, drawn anew for each table, by one text each, so a large group
+of copies becomes one component at a row per member. Then all pairs of a bucket
+that are not in one component yet are compared: the members outside the bucket's
+largest component with all of its members. Pairs inside a component need no
+test, since a link more would change nothing. Links within 2 bits stay exact.
 
 Defined cases: null and empty texts, or texts without words, have fingerprint
 zero and are linked like any other. Fewer words than a shingle: the whole
@@ -190,9 +193,24 @@ def similar(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame,
     return materialise(whole.select("a", "b", "hx", "hy").mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
 
 
-def wide_links(docs: DataFrame, text_col: str, owned: DataFrame, fps: DataFrame, wide: int, similarity: float, beyond: int = 2, seed: int = 11) -> DataFrame:
+def crossing(home: DataFrame, wide: int, beyond: int) -> DataFrame:
+    """All pairs a, b of over `beyond` and at most `wide` bits whose homes
+    differ. home: fp, home."""
+    masks = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(covering_masks(wide))]
+    dealt = home.select("fp", "home", F.explode(F.array(*masks)).alias("x")).select("fp", "home", "x.t", "x.k")
+    mixed = materialise(dealt.groupBy("t", "k").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("t", "k"), "mixed")
+    members = materialise(dealt.join(mixed, ["t", "k"], "left_semi"), "members")
+    most = members.groupBy("t", "k", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("t", "k").agg(F.max(F.struct("n", "home")).alias("most"))
+    outside = members.join(materialise(most.select("t", "k", F.col("most.home").alias("main")), "most"), ["t", "k"]).where("home <> main")
+    outside = materialise(outside.select("t", "k", F.col("fp").alias("a"), F.col("home").alias("of")), "outside")
+    met = members.join(outside, ["t", "k"]).where((F.col("home") != F.col("of")) & F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))).between(beyond + 1, wide))
+    return met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+
+
+def wide_links(docs: DataFrame, text_col: str, owned: DataFrame, fps: DataFrame, near: DataFrame, wide: int, similarity: float, beyond: int = 2, seed: int = 11) -> DataFrame:
     """Edges a, b of over `beyond` and at most `wide` bits whose texts are as
-    similar as asked. owned: fp, digest; fps: the distinct fp."""
+    similar as asked; with near, the edges within `beyond`, they connect the
+    same sets as all of them do. owned: fp, digest; fps: the distinct fp."""
     draw = random.Random(seed)
     keys = [F.lit(_signed(draw.getrandbits(64))) for _ in covering_masks(wide)]
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k"), F.col("fp").bitwiseXOR(key).alias("rank")) for t, (m, key) in enumerate(zip(covering_masks(wide), keys, strict=True))]
@@ -201,8 +219,15 @@ def wide_links(docs: DataFrame, text_col: str, owned: DataFrame, fps: DataFrame,
     hubs = materialise(hubs.select("t", "k", F.col("hub").bitwiseXOR(F.element_at(F.array(*keys), F.col("t") + 1)).alias("b")), "hubs")
     met = dealt.join(hubs, ["t", "k"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))).between(beyond + 1, wide))
     pairs = materialise(met.select(F.col("fp").alias("a"), "b").distinct(), "pairs")
+    one = owned.groupBy("fp").agg(F.min("digest").alias("digest"))
+    found = similar(docs, text_col, one, pairs, similarity)
+    labels = connected(near.union(found))
+    home = fps.select("fp", F.col("fp").alias("home"))
+    if labels is not None:
+        home = materialise(fps.select("fp").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("home")), "homes")
+    across = materialise(crossing(home, wide, beyond), "crossing")
     texts = owned.select("fp", "digest").distinct()
-    return similar(docs, text_col, texts, pairs, similarity)
+    return found.union(similar(docs, text_col, texts, across, similarity))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
@@ -211,7 +236,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     fps = materialise(owned.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(fps, radius)
     if wide is not None:
-        edges = edges.union(wide_links(docs, text_col, owned, fps, wide, similarity, radius))
+        edges = materialise(edges, "near")
+        edges = edges.union(wide_links(docs, text_col, owned, fps, edges, wide, similarity, radius))
     labels = connected(edges)
     if labels is None:
         home = fps.select("fp", F.col("rep").alias("component_id"))

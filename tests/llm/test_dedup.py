@@ -187,6 +187,38 @@ def test_wide_links_decide_by_whole_texts(spark):
     assert [got[2 * k] == got[2 * k + 1] for k in range(len(exact))] == exact
 
 
+def test_wide_links_compare_all_of_a_bucket(spark, monkeypatch):
+    """Pairs planted in one family of fingerprints, whose buckets are shared."""
+    draw, family = random.Random(3), random.Random(4).getrandbits(64)
+    fixed = sum(1 << b for b in draw.sample(range(64), 52))
+    fps, pairs = set(), []
+    while len(fps) < 1500:
+        fps.add(family & fixed | draw.getrandbits(64) & ~fixed)
+    for fp in draw.sample(sorted(fps), 100):
+        other = fp ^ sum(1 << b for b in draw.sample(range(64), 3 + len(pairs) % 3))
+        pairs.append((fp, other))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    every = sorted(fps | {b for _, b in pairs})
+    home = spark.createDataFrame([(signed(f), signed(f)) for f in every], "fp long, home long")
+    got = {(r["a"], r["b"]) for r in simhash.crossing(home, 5, 2).collect()}
+    want = {tuple(sorted((signed(a), signed(b)))) for k, a in enumerate(every) for b in every[:k] if 3 <= (a ^ b).bit_count() <= 5}
+    assert got == want and {tuple(sorted(map(signed, p))) for p in pairs} <= got
+    # the edges of the whole step connect what all similar pairs do: here texts are alike in planted pairs only
+    likes = {frozenset(map(signed, p)) for p in pairs}
+    asked = set()
+
+    def planted(docs, text_col, texts, pairs, similarity):
+        met = [(r["a"], r["b"]) for r in pairs.collect()]
+        asked.update(map(frozenset, met))
+        return spark.createDataFrame([p for p in met if frozenset(p) in likes], "a long, b long")
+
+    monkeypatch.setattr(simhash, "similar", planted)
+    owned = home.select("fp").selectExpr("fp", "cast('' as binary) AS digest")
+    none = spark.createDataFrame([], "a long, b long")
+    edges = {frozenset((r["a"], r["b"])) for r in simhash.wide_links(None, "text", owned, home.select("fp"), none, 5, 0.8).collect()}
+    assert edges == likes <= asked
+
+
 def test_a_large_near_group_is_one(spark):
     """One base text with one word changed in each of many copies."""
     draw = random.Random(4)
