@@ -53,6 +53,7 @@ SEED = 42
 SKETCH = 64
 SIMILAR_SIZE = 5
 P = "__sh_"
+KEY = [f"{P}id", f"{P}null", f"{P}digest"]
 #: Which of 8 bits each byte value has set.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -230,9 +231,10 @@ def wide_links(docs: DataFrame, text_col: str, owned: DataFrame, fps: DataFrame,
     return found.union(similar(docs, text_col, texts, across, similarity))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """A row per input row: doc_id, fingerprint (16 hex digits), component_id."""
-    owned = materialise(fingerprints(docs, id_col, text_col, size, wide is not None), "fingerprints")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int, wide: int | None, similarity: float, keyed: bool) -> DataFrame:
+    """A row per input row: doc_id, fp, the digest where it is asked for, root
+    (one fingerprint for each component) and component_id."""
+    owned = materialise(fingerprints(docs, id_col, text_col, size, keyed or wide is not None), "fingerprints")
     fps = materialise(owned.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(fps, radius)
     if wide is not None:
@@ -240,23 +242,32 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         edges = edges.union(wide_links(docs, text_col, owned, fps, edges, wide, similarity, radius))
     labels = connected(edges)
     if labels is None:
-        home = fps.select("fp", F.col("rep").alias("component_id"))
+        home = fps.select("fp", F.col("fp").alias("root"), F.col("rep").alias("component_id"))
     else:
-        linked = labels.select(F.col("node").alias("fp"), "label")
-        first = materialise(linked.join(fps, "fp").groupBy("label").agg(F.min("rep").alias("component_id")), "first")
-        member = materialise(linked.join(first, "label").select("fp", "component_id"), "member")
-        home = materialise(fps.join(member, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "home")
-    return owned.join(home, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        linked = labels.select(F.col("node").alias("fp"), F.col("label").alias("root"))
+        first = materialise(linked.join(fps, "fp").groupBy("root").agg(F.min("rep").alias("least")), "first")
+        member = materialise(linked.join(first, "root").select("fp", "root", "least"), "member")
+        joined = fps.join(member, "fp", "left")
+        home = materialise(joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id")), "home")
+    return owned.join(home, "fp")
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """A row per input row: doc_id, fingerprint (16 hex digits), component_id."""
+    made = _grouped(docs, id_col, text_col, size, radius, wide, similarity, False)
+    return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """docs with the row of the smallest id of each component; of repeated ids
-    one row stays."""
+    """docs with one row of each component: of the smallest id, and where texts
+    of one component share that id, of the smallest digest. Rows of different
+    components stay whatever their ids."""
     i = F.col("doc_id")
-    stay = assign(docs, id_col, text_col, size, radius, wide, similarity).where(i.eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.coalesce(i, F.lit(0)).alias(f"{P}id"), i.isNull().alias(f"{P}null")).distinct()
+    made = _grouped(docs, id_col, text_col, size, radius, wide, similarity, True)
+    best = made.where(i.eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias(KEY[2]))
+    stay = materialise(best.select(F.coalesce(i, F.lit(0)).alias(KEY[0]), i.isNull().alias(KEY[1]), KEY[2]), "stay")
     own = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumns({f"{P}id": F.coalesce(own, F.lit(0)), f"{P}null": own.isNull()})
-    # both steps deal by the same columns, so the texts move once
-    left = rows.join(stay, [f"{P}id", f"{P}null"], "left_semi").dropDuplicates([f"{P}id", f"{P}null"])
+    rows = docs.withColumns(dict(zip(KEY, (F.coalesce(own, F.lit(0)), own.isNull(), text_digest(text_col)), strict=True)))
+    # both steps deal by the same columns, so the texts move once; equal digests are of one component
+    left = rows.join(stay, KEY, "left_semi").dropDuplicates(KEY)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -219,6 +219,16 @@ def test_wide_links_compare_all_of_a_bucket(spark, monkeypatch):
     assert edges == likes <= asked
 
 
+def test_drop_near_keeps_texts_that_share_an_id(spark):
+    """Null and repeated ids with entirely different texts."""
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3].upper()), (8, texts[4]), (9, texts[4]), (None, texts[4])]
+    left = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc_id"], r["text"].lower()) for r in left), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=str)
+
+
 def test_a_large_near_group_is_one(spark):
     """One base text with one word changed in each of many copies."""
     draw = random.Random(4)
