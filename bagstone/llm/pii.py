@@ -50,6 +50,8 @@ HINT = "[0-9@]"
 #: Days of a 400-year cycle of the calendar, 189 x 773.
 CYCLE = (189, 773)
 FIRST_DAY = "1800-01-01"
+#: Days after the 12th of their month in such a cycle, 9 x 9833.
+LATE = (9, 9833)
 
 
 def _hash(key: str, kind: str, step: Column, other: Column) -> Column:
@@ -185,19 +187,24 @@ def _day(c: Column, key: str, back: bool) -> Column:
 
 
 def _walk(date: Column, key: str, back: bool) -> Column:
-    """Month-first dates that can't be read day-first are those with a day over
-    12; the day moves within 13 .. 28 and the month and year stay apart from
-    it, so the result is of the same kind. Days over 28 stay."""
-    month = (F.year(date) * 12 + F.month(date) - 1).cast("long")
-    base, size = 16, 400 * 12
-    index = F.pmod(month, F.lit(size)) * base + F.dayofmonth(date) - 13
-    turned = permute(index, size, base, key, "monthday", back)
+    """Month-first dates that can't be read day-first are those with a day from
+    13 to the month's end; those of a 400-year cycle are permuted among
+    themselves, all of them."""
+    origin = (F.floor(F.year(date) / 400) * 400).cast("int")
+    zero = F.make_date(origin, F.lit(1), F.lit(1))
+    # 12 days of this month and of each before it aren't counted
+    index = F.datediff(date, zero).cast("long") - ((F.year(date) - origin) * 12 + F.month(date)) * 12
+
+    def opens(m: Column) -> Column:
+        return F.make_date((origin + F.floor(m / 12)).cast("int"), (F.pmod(m, F.lit(12)) + 1).cast("int"), F.lit(1))
 
     def new(t: Column) -> Column:
-        moved = F.floor(month / size) * size + F.floor(t / base)
-        return F.make_date(F.floor(moved / 12).cast("int"), (moved % 12 + 1).cast("int"), (t % base + 13).cast("int"))
+        # months have 18.4 such days on average, and the calendar strays from that by less than one month
+        guess = F.floor(t * 4800 / (LATE[0] * LATE[1])).cast("long")
+        m = F.array_max(F.filter(F.array(guess - 1, guess, guess + 1), lambda m: F.datediff(opens(m), zero) - m * 12 <= t))
+        return _let(m, lambda m: F.date_add(zero, (t + (m + 1) * 12).cast("int")))
 
-    return F.when(F.dayofmonth(date) > 28, date).otherwise(_let(turned, new))
+    return _let(permute(index, *LATE, key, "monthday", back), new)
 
 
 def _email(c: Column, key: str, back: bool) -> Column:
