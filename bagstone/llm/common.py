@@ -28,6 +28,14 @@ def text_bytes(c: str = "text") -> Column:
     return F.coalesce(F.col(f"`{c}`"), F.lit("")).cast("binary")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir.
 

@@ -8,9 +8,11 @@ as a rolling polynomial, and each hash that is in the set is verified word by
 word. Words inside a verified window are hit.
 
 The set is broadcast in blocks of at most `block_words` words of items, a fixed
-size; a larger benchmark takes more passes over each document, and each pass
-adds its spans and items to those of the pass before. One item over the bound
-has a block of its own.
+size. A longer item is cut into parts that share their edges' windows, so no
+block is larger. A larger benchmark takes more passes over the documents, each
+written before the next begins, so that a task runs one scan and the driver
+holds one block whatever the benchmark's size; each pass adds its spans and
+items to those of the pass before.
 
 Defined cases: a null or empty text has no words and no hits; so has an item
 without words, which is never found. Items with equal texts count once each.
@@ -26,16 +28,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bagstone.llm.common import text_bytes
+from bagstone.llm.common import discard, fresh, materialise, text_bytes
 
 SIZE = 10
 BLOCK_WORDS = 2_000_000
-P = "__dc_"
+#: Windows of a text that are hashed at a time.
+_BLOCK = 1 << 16
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,7 +72,8 @@ class WindowSet:
         return total
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """Number of words, hit spans [from, to) in words, items found."""
+        """Number of words, hit spans [from, to) in words, items found. The
+        windows of a text are held in blocks, however long it is."""
         words = words_of(text)
         if not words or not self.windows:
             return len(words), [], set()
@@ -83,13 +88,18 @@ class WindowSet:
             starts = np.flatnonzero(reach >= n)
             if not len(starts):
                 continue
-            rows = ids[starts[:, None] + np.arange(n)[None, :]]
-            hit = np.isin(self._hash(rows.astype(np.uint64)), hashes)
-            for at, row in zip(starts[hit].tolist(), rows[hit].tolist(), strict=True):
-                owners = self.windows.get(tuple(row))
-                if owners:
-                    spans.append((at, at + n))
-                    items.update(owners)
+            for low in range(0, len(starts), _BLOCK):
+                some = starts[low : low + _BLOCK]
+                rows = ids[some[:, None] + np.arange(n)[None, :]]
+                hit = np.isin(self._hash(rows.astype(np.uint64)), hashes)
+                for at, row in zip(some[hit].tolist(), rows[hit].tolist(), strict=True):
+                    owners = self.windows.get(tuple(row))
+                    if owners:
+                        if spans and at <= spans[-1][1] and at >= spans[-1][0]:
+                            spans[-1] = (spans[-1][0], max(spans[-1][1], at + n))
+                        else:
+                            spans.append((at, at + n))
+                        items.update(owners)
         return len(words), merged(spans), items
 
 
@@ -107,21 +117,31 @@ def digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _parts(words: list[bytes], size: int, most: int) -> Iterator[list[bytes]]:
+    """words in parts of at most `most`, and of `size` at least, that share
+    size - 1 words, so every window is in one of them."""
+    most = max(most, size)
+    for at in range(0, max(len(words) - size + 1, 1), most - size + 1):
+        yield words[at : at + most]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size; only one block is held at a time."""
+    """Items in blocks of bounded size; the driver holds one block and one
+    item at a time."""
     rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), text_bytes(text_col).alias("t")).where("i IS NOT NULL")
     block, held = [], 0
     for item, text in rows.toLocalIterator():
-        n = len(words_of(bytes(text)))
-        if block and held + n > block_words:
-            yield block
-            block, held = [], 0
-        block.append((item, bytes(text)))
-        held += n
+        for part in _parts(words_of(bytes(text)), size, block_words):
+            if block and held + len(part) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((item, b" ".join(part)))
+            held += len(part)
     yield block
 
 
 _SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_SPANS = "array<struct<a:long,b:long>>"
 _FOUND = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
@@ -148,12 +168,29 @@ def _kernel(items: list[tuple[str, bytes]], size: int, first: bool, last: bool):
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per input row: doc_id, n_words, spans (of hit words), items."""
     out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    blocks = _blocks(benchmark, item_col, item_text_col, size, block_words)
+    for block, first, last in _marked(_blocks(benchmark, item_col, item_text_col, size, block_words)):
+        after = out.mapInArrow(_kernel(block, size, first, last), "doc_id long, " + "body binary, " * (not last) + _FOUND)
+        out = _next(out, after, first, last)
+    return out
+
+
+def _marked(blocks: Iterator[list]) -> Iterator[tuple[list, bool, bool]]:
+    """Each block, and whether it is the first and the last."""
     block, first = next(blocks), True
     while block is not None:
         after = next(blocks, None)
-        out = out.mapInArrow(_kernel(block, size, first, after is None), "doc_id long, " + "body binary, " * (after is not None) + _FOUND)
+        yield block, first, after is None
         block, first = after, False
+
+
+def _next(before: DataFrame, after: DataFrame, first: bool, last: bool) -> DataFrame:
+    """What the next pass reads: a written table, in place of the one that the
+    pass before wrote."""
+    if last:
+        return after
+    out = materialise(after, "pass")
+    if not first:
+        discard(before)
     return out
 
 
@@ -185,35 +222,47 @@ def _tester(items: list[tuple[str, bytes]], size: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without those that hold a window of any item; no shuffle."""
-    for items in _blocks(benchmark, item_col, item_text_col, size, block_words):
-        docs = docs.where(~_tester(items, size)(text_bytes(text_col)))
-    return docs
-
+    out = docs
+    for items, first, last in _marked(_blocks(benchmark, item_col, item_text_col, size, block_words)):
+        out = _next(out, out.where(~_tester(items, size)(text_bytes(text_col))), first, last)
+    return out
 
-def _cutter(items: list[tuple[str, bytes]], size: int):
-    held: list[WindowSet] = []
 
+def _cutter():
     @F.pandas_udf(T.StringType())
-    def without(body):
-        if not held:
-            held.append(WindowSet(items, size))
-
-        def one(t: bytes) -> str:
-            spans = held[0].scan(t)[1]
-            at = [m.span() for m in _WORD.finditer(t.lower())] if spans else []
+    def without(body, spans):
+        def one(t: bytes, hit) -> str:
+            at = [m.span() for m in _WORD.finditer(t.lower())] if len(hit) else []
             out, last = [], 0
-            for a, b in spans:
+            for a, b in sorted((x["a"], x["b"]) for x in hit):
                 out.append(t[last : at[a][0]])
                 last = at[b - 1][1]
             return b"".join([*out, t[last:]]).decode("utf-8", "replace")
 
-        return body.map(lambda t: one(bytes(t)))
+        return body.combine(spans, lambda t, hit: one(bytes(t), hit))
 
     return without
 
 
+def _spotter(items: list[tuple[str, bytes]], size: int):
+    held: list[WindowSet] = []
+
+    @F.pandas_udf(_SPANS)
+    def hits(body, old):
+        if not held:
+            held.append(WindowSet(items, size))
+        both = [merged([*held[0].scan(bytes(t))[1], *((x["a"], x["b"]) for x in was)]) for t, was in zip(body, old, strict=True)]
+        return pd.Series([[{"a": a, "b": b} for a, b in s] for s in both], dtype=object)
+
+    return hits
+
+
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with the hit words, and what lies between them, cut from the text."""
-    for items in _blocks(benchmark, item_col, item_text_col, size, block_words):
-        docs = docs.withColumn(text_col, F.when(F.col(f"`{text_col}`").isNull(), None).otherwise(_cutter(items, size)(text_bytes(text_col))))
-    return docs
+    """docs with the hit words, and what lies between them, cut from the text.
+    Spans of all blocks are found in the text as it was, then cut at once; a
+    null text stays null."""
+    text, kept = F.col(f"`{text_col}`"), fresh("spans", docs)
+    out = docs.withColumn(kept, F.array().cast(_SPANS))
+    for items, first, last in _marked(_blocks(benchmark, item_col, item_text_col, size, block_words)):
+        out = _next(out, out.withColumn(kept, _spotter(items, size)(text_bytes(text_col), kept)), first, last)
+    return out.withColumn(text_col, F.when(F.size(kept) > 0, _cutter()(text_bytes(text_col), kept)).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))

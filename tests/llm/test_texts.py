@@ -111,9 +111,33 @@ def test_decontamination(spark, docs, rows, empty, block_words):
     assert any(r[5] for r in want) and not all(r[5] for r in want)
     left = decontam.drop_contaminated(docs, bench, block_words=block_words)
     assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
+    # one scan for each stage, whatever the number of blocks
+    for df in (decontam.report(docs, bench, block_words=block_words), left):
+        assert len(re.findall("MapInArrow|ArrowEvalPython", df._jdf.queryExecution().executedPlan().toString())) == 1
     # shorter items may join across a cut, so only the long ones are sure to be gone
     long_only = bench.where("item_id IN (1, 6)")
-    assert decontam.report(decontam.cut_spans(docs, long_only, block_words=block_words), long_only).where("contaminated").count() == 0
+    cut = decontam.cut_spans(docs, long_only, block_words=block_words)
+    assert cut.columns == docs.columns and decontam.report(cut, long_only).where("contaminated").count() == 0
+    marks = [r for r in want if r[0] not in (None, 14)]
+    texts = {r[0]: r[1] for r in rows}
+    hit = {r["doc_id"] for r in decontam.report(docs, long_only).where("contaminated").collect()}
+    assert hit and all(r["text"] == texts[r["doc_id"]] for r in cut.collect() if r["doc_id"] in {m[0] for m in marks} - hit)
+    assert decontam.cut_spans(docs, empty.selectExpr("doc_id AS item_id", "text")).where("text IS NULL").count() == sum(r[1] is None for r in rows)
+
+
+def test_long_items_and_texts_in_blocks(spark, monkeypatch):
+    """Parts of an item keep every window; windows of a text are hashed in
+    blocks."""
+    words = [f"w{k % 37}" for k in range(500)]
+    for most in (1, 10, 13, 100, 1000):
+        parts = list(decontam._parts(words, 10, most))
+        assert all(10 <= len(p) <= max(most, 10) for p in parts)
+        assert {tuple(p[k : k + 10]) for p in parts for k in range(len(p) - 9)} == {tuple(words[k : k + 10]) for k in range(491)}
+    assert list(decontam._parts(words[:4], 10, 2)) == [words[:4]] and list(decontam._parts([], 10, 2)) == [[]]
+    windows = decontam.WindowSet([("a", " ".join(words[:30]).encode()), ("b", b"w3")])
+    whole = windows.scan(" ".join(words).encode())
+    monkeypatch.setattr(decontam, "_BLOCK", 7)
+    assert windows.scan(" ".join(words).encode()) == whole and whole[1][:2] == [(0, 30), (37, 67)]
 
 
 def test_decontamination_of_nothing(docs, empty, rows):
