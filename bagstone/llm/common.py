@@ -89,6 +89,51 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Rows of a small table that may be broadcast; of more the planner decides.
+FEW = 250_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most
+    that many of them."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> DataFrame:
+    """rows with the columns that found has for their key, which it has one row
+    for. Both are written tables. Keys with over a thousandth of the rows, so a
+    thousand at most, come by broadcast, and their rows are dealt out evenly for
+    the rest of the join: no task gets a hot key."""
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(least, rows.count() // share)).select(key)
+    heavy = found.join(F.broadcast(hot), key, "left_semi")
+    if heavy.isEmpty():
+        return rows.join(found, key)
+    names = [c for c in found.columns if c != key]
+    at, own = fresh("at", rows, found), fresh("own", rows, found)
+    heavy = materialise(heavy.select(key, F.struct(*(F.col(f"`{c}`") for c in names)).alias(own)), "heavy")
+    marked = rows.join(F.broadcast(heavy), key, "left").withColumn(at, F.when(F.col(own).isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns).cast("string").cast(rows.schema[key].dataType)))
+    other = found.select(F.col(key).alias(at), F.struct(*(F.col(f"`{c}`") for c in names)).alias(f"{own}_"))
+    joined = marked.join(other, at, "left").withColumn(own, F.coalesce(own, f"{own}_"))
+    return joined.select(*rows.columns, *(F.col(own).getField(c).alias(c) for c in names))
+
+
+def drop_keys(docs: DataFrame, own_id: Column, own_digest: Column, judged: DataFrame) -> DataFrame:
+    """docs without the rows whose id and digest judged says don't stay, and
+    with one of those that share both. judged: doc_id, digest, times, stays, a
+    row for each of them. Few rows to drop come by broadcast, and the texts are
+    not moved; more are met by id and digest."""
+    i, null, digest = (fresh(c, docs) for c in ("id", "null", "digest"))
+    keys = judged.select(F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(null), F.col("digest").alias(digest), "times", "stays")
+    keys = materialise(keys.where("NOT stays OR times > 1"), "decided")
+    marked = docs.withColumns({i: F.coalesce(own_id, F.lit(0)), null: own_id.isNull(), digest: own_digest})
+    at = [i, null, digest]
+    gone, often = few(keys.where("NOT stays").select(*at)), few(keys.where("stays").select(*at))
+    left = marked.join(gone, at, "left_anti")
+    if not keys.where("stays").isEmpty():
+        left = left.join(often, at, "left_anti").unionAll(left.join(often, at, "left_semi").dropDuplicates(at))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes scratch tables that no later step reads."""
     for df in frames:

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp string, body string, score string, kept string, id string, severity string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp string, body string, score string, kept string, id string, severity string, null string, at string, own string, spans string, __xd_digest string, __sh_id string, __pi_done string"
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
 TEXTS = [
     "The quick brown fox jumps over the lazy dog again and again",
@@ -26,10 +26,10 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def rows():
     """Nulls in every column, ties, repeated rows, long texts."""
-    out = [(k, t, "en", "src0" if k % 2 else None, len(t or ""), *["clash"] * 7) for k, t in enumerate(TEXTS)]
-    out.append((14, "same text", "en", None, 9, *["clash"] * 7))
-    out.append((None, "same text", None, None, None, *[None] * 7))
-    out.append((None, "without an id", None, None, None, *[None] * 7))
+    out = [(k, t, "en", "src0" if k % 2 else None, len(t or ""), *["clash"] * 14) for k, t in enumerate(TEXTS)]
+    out.append((14, "same text", "en", None, 9, *["clash"] * 14))
+    out.append((None, "same text", None, None, None, *[None] * 14))
+    out.append((None, "without an id", None, None, None, *[None] * 14))
     return out
 
 
