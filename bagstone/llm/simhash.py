@@ -1,29 +1,32 @@
 """SimHash near-dedup by covering locality-sensitive hashing.
 
 Fingerprint: per word shingle a 64-bit XXH64; a bit is set where over half the
-shingles, repeats included, set it. Distinct fingerprints are put into
-2^(radius+1)-1 tables. Bit position i has a vector m(i) over GF(2), radius+1
-long and not zero; the table of the non-zero vector v keeps the positions with
-<m(i), v> = 1. Any `radius` positions span less than the whole space, so some v
-is orthogonal to all of them, and every pair within the radius meets in that
-table. Fingerprints that share no bucket with another one are done. For the
-rest the link test is exact and linear: at radius 2 each of them is sent to itself and its
-64 one-bit neighbours. Two fingerprints meet at such a centre exactly if they
-differ in 2 bits or fewer, and everything that meets there is linked, so a star
-replaces all pairs; a centre has at most 65 members by construction.
-
-Wider links (`wide`, `similarity`; the pipeline's stage uses them): near copies
-mostly differ in more than 2 bits, so candidates up to `wide` bits are looked for
-too, with that radius's tables, and a link counts if the word shingles (five
-words) of a text of either fingerprint have a Jaccard similarity of 0.8 or more.
-Every distinct text of a candidate fingerprint is compared, by the hashes of all
-its shingles; only pairs whose numbers of shingles rule 0.8 out are spared. The
-components are those of all such pairs. First every bucket member is held
-against one hub, drawn anew for each table, by one text each, so a large group
-of copies becomes one component at a row per member. Then all pairs of a bucket
-that are not in one component yet are compared: the members outside the bucket's
-largest component with all of its members. Pairs inside a component need no
-test, since a link more would change nothing. Links within 2 bits stay exact.
+shingles, repeats included, set it. Fingerprints are put into 2^(radius+1)-1
+tables. Bit position i has a vector m(i) over GF(2), radius+1 long and not zero;
+the table of the non-zero vector v keeps the positions with <m(i), v> = 1. Any
+`radius` positions span less than the whole space, so some v is orthogonal to
+all of them, and every pair within the radius meets in a bucket of that table.
+
+All links come from those buckets (`meet`, any radius). A bucket of one is done.
+One of at most `CAP` members is compared whole in one task, so what a task
+holds is bounded. A larger one is split by such masks over the bits that its
+members may still differ in, again and again: each step takes about half of
+those bits and keeps every pair within the radius together in some part. Nothing
+is capped or dropped. A bucket gives a chain for each of its components, not its
+pairs, so no node gets many edges by a bucket's size.
+
+Edited copies (`wide`, `similarity`; the pipeline's stage uses them): their
+shingles, and so the fingerprints above, differ in too many bits. So a second
+fingerprint, over the distinct single words, which an edit moves less, is put
+into the tables of radius `wide`, and a pair of texts within that radius is a
+link if the sets of their five-word shingles have a Jaccard similarity of at
+least 0.8, computed from all shingles of the whole texts. Two things spare work
+and lose nothing: counts of the shingles' hashes in 128 cells bound the
+similarity from above, and pairs that are in one component already need no
+test. First each bucket gives the pairs that would connect its components, most
+similar ones first; then all pairs that are still in different components. A
+bucket of more than `CAP` texts, which may have few fingerprints, is compared
+block by block.
 
 Defined cases: null and empty texts, or texts without words, have fingerprint
 zero and are linked like any other. Fewer words than a shingle: the whole
@@ -45,15 +48,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagstone.llm.common import materialise, text_bytes
+from bagstone.llm.common import drop_keys, few, lookup, materialise, text_bytes
 from bagstone.llm.components import connected
 
 BITS = 64
 SEED = 42
-SKETCH = 64
 SIMILAR_SIZE = 5
-P = "__sh_"
-KEY = [f"{P}id", f"{P}null", f"{P}digest"]
+#: Members of a bucket that are compared in one task.
+CAP = 2048
+#: Cells of the counts that bound a similarity.
+CELLS = 128
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Which of 8 bits each byte value has set.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -62,10 +67,22 @@ _BLOCK = 1 << 16
 _ROWS = 256
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    ones = np.zeros((8, 8), np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        byte = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8) + _COLUMN
+        ones += np.bincount(byte.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
+    return int.from_bytes(np.packbits(ones.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, size: int = 3) -> int:
     """The 64-bit fingerprint of a text in UTF-8; bytes.lower and bytes.split
     treat exactly A-Z and the six ASCII white-space characters."""
-    words = text.lower().split()
+    return _fingerprint(text.lower().split(), size)
+
+
+def _fingerprint(words: list[bytes], size: int) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
@@ -76,39 +93,67 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     starts = ends - lengths
     n = len(words) - size + 1
     h, spans = xxhash.xxh64_intdigest, zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    ones = np.zeros((8, 8), np.int64)
-    for at in range(0, n, _BLOCK):
-        byte = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8) + _COLUMN
-        ones += np.bincount(byte.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
-    return int.from_bytes(np.packbits(ones.ravel() * 2 > n, bitorder="little").tobytes(), "little")
+    return _majority(np.fromiter((h(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+
+
+def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and those of the distinct words."""
+    own = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    return np.fromiter(map(own.__getitem__, words), np.uint64, len(words)), np.fromiter(own.values(), np.uint64, len(own))
 
 
-def sketch(text: bytes, size: int = SIMILAR_SIZE, keep: int | None = SKETCH) -> bytes:
-    """The smallest distinct shingle hashes of a text, ascending, as bytes; all
-    of them where keep is None."""
-    words = text.lower().split()
-    joined = [b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
-    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in joined), np.uint64, len(joined)))
-    return hashes[:keep].tobytes()
+def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes of the shingles, ascending, from the words' hashes."""
+    n = max(1, len(hashes) - size + 1) if len(hashes) else 0
+    total = np.zeros(n, np.uint64)
+    for k in range(min(size, len(hashes))):
+        total = total * _BASE + hashes[k : k + n]
+    return np.unique(total)
 
 
-def estimate(a: bytes, b: bytes, keep: int | None = SKETCH) -> float:
-    """Jaccard similarity by two sketches, exact by whole ones where keep is
-    None; two empty ones are equal."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.union1d(x, y)[:keep]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
+def shingles(text: bytes, size: int = SIMILAR_SIZE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    return _shingles(_word_hashes(text.lower().split())[0], size)
+
+
+def word_fingerprint(text: bytes) -> int:
+    """The fingerprint over the distinct words of a text."""
+    distinct = _word_hashes(text.lower().split())[1]
+    return _majority(distinct) if len(distinct) else 0
+
+
+def cells(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes lie in each cell, 255 for more."""
+    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending arrays of distinct hashes; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _differ_most(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The most hashes that two sets of together so many members may differ in
+    to be as similar as asked."""
+    return sizes * (1 - similarity) / (1 + similarity) + 1e-9
 
 
 def _kernel(size: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = batch.column(1)
-            fps = np.fromiter((fingerprint(t.as_py(), size) for t in body), np.uint64, len(body))
-            columns = {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
-            if keyed:
-                columns["digest"] = pa.array([hashlib.sha256(t.as_py()).digest() for t in body], pa.binary())
+            rows = []
+            for text in batch.column(1):
+                body = text.as_py()
+                words = body.lower().split()
+                row = [_signed(_fingerprint(words, size))]
+                if keyed:
+                    each, distinct = _word_hashes(words)
+                    sets = _shingles(each, SIMILAR_SIZE)
+                    row += [hashlib.sha256(body).digest(), _signed(xxhash.xxh64_intdigest(body, SEED)), _signed(_majority(distinct)) if words else 0, len(sets), cells(sets).tobytes()]
+                rows.append(row)
+            names, kinds = zip(("fp", pa.int64()), ("digest", pa.binary()), ("tid", pa.int64()), ("near", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), strict=True)
+            columns = {"doc_id": batch.column(0)} | {name: pa.array([r[k] for r in rows], kinds[k]) for k, name in enumerate(names[: 6 if keyed else 1])}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -120,115 +165,233 @@ def text_digest(text_col: str = "text") -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, keyed: bool = False) -> DataFrame:
-    """doc_id, fp (the unsigned value in a signed long), and the digest of the
-    text where it is asked for, for every row."""
+    """doc_id and fp (the unsigned value in a signed long) for every row; keyed
+    adds digest (SHA-256), tid (XXH64) of the text, near (the fingerprint of the
+    distinct words), n and cells of its five-word shingles."""
     if size < 1:
         raise ValueError("a shingle has at least one word")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(_kernel(size, keyed), "doc_id long, fp long" + ", digest binary" * keyed)
+    return rows.mapInArrow(_kernel(size, keyed), "doc_id long, fp long" + ", digest binary, tid long, near long, n long, cells binary" * keyed)
+
 
+# buckets
 
-def covering_masks(radius: int, bits: int = BITS) -> list[int]:
-    """The 2^(radius+1)-1 bit masks of the tables."""
+
+def covering_masks(radius: int, places: list[int] | None = None) -> list[int]:
+    """The 2^(radius+1)-1 bit masks of the tables, over those bit places. With
+    more places than the radius every mask has one of them at least."""
+    places = list(range(BITS)) if places is None else places
     dims = (1 << (radius + 1)) - 1
-    vectors = [i % dims + 1 for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, dims + 1)]
+    others = [v for v in range(1, dims + 1) if v & (v - 1)]
+    random.Random(radius).shuffle(others)
+    vectors = [1 << k for k in range(radius + 1)] + others
+    return [sum(1 << place for i, place in enumerate(places) if (vectors[i % dims] & v).bit_count() % 2) for v in range(1, dims + 1)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _flips() -> list[Column]:
-    return [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS))]
+def _split(radius: int):
+    """Members of a bucket dealt into parts, by masks over the bits that the
+    bucket leaves free, and the bits that each part leaves."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            rows = []
+            for bucket, used, fp in zip(*(batch.column(c).to_pylist() for c in ("bucket", "used", "fp")), strict=True):
+                if used not in known:
+                    known[used] = covering_masks(radius, [b for b in range(BITS) if not used >> b & 1])
+                for t, mask in enumerate(known[used]):
+                    part = xxhash.xxh64_intdigest(f"{bucket},{t},{fp & mask}", SEED)
+                    rows.append((_signed(part), _signed(used % (1 << BITS) | mask), fp))
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "used", "fp"])
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    return run
+
+
+def meet(fps: DataFrame, radius: int, cap: int | None = None) -> DataFrame:
+    """bucket, fp: groups of bounded size, one of which each two of the distinct
+    fingerprints (column fp) within the radius share."""
+    cap = cap or CAP
+    tables = F.array(*(F.struct(F.lit(_signed(m)).alias("used"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("bucket")) for t, m in enumerate(covering_masks(radius))))
+    dealt = fps.select("fp", F.explode(tables).alias("x")).select("x.bucket", "x.used", "fp")
+    # as many as so few bits allow are no more than the cap, or than 2^radius
+    least = max(radius, cap.bit_length() - 1)
+    out = None
+    while True:
+        shared = few(materialise(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared"))
+        members = materialise(dealt.join(shared, "bucket"), "members")
+        fits = (F.col("n") <= cap) | (F.bit_count(F.bitwise_not("used")) <= least)
+        small = members.where(fits).select("bucket", "fp")
+        out = small if out is None else out.unionAll(small)
+        large = members.where(~fits).select("bucket", "used", "fp")
+        if large.isEmpty():
+            return out
+        dealt = materialise(large.mapInArrow(_split(radius), "bucket long, used long, fp long"), "parts")
+
+
+def _chains(radius: int):
+    """For each bucket the edges of a chain through each component of its
+    members, where those within the radius are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges: list[tuple[int, int]] = []
+            for members in batch.column(0):
+                fps = np.unique(members.values.to_numpy()).view(np.uint64)
+                left = np.ones(len(fps), bool)
+                for at in range(len(fps)):
+                    if not left[at]:
+                        continue
+                    todo, found = [at], []
+                    left[at] = False
+                    while todo:
+                        k = todo.pop()
+                        found.append(k)
+                        close = np.flatnonzero(left & (np.bitwise_count(fps ^ fps[k]) <= radius))
+                        left[close] = False
+                        todo += close.tolist()
+                    chain = fps[np.sort(found)].view(np.int64).tolist()
+                    edges += zip(chain, chain[1:], strict=False)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def links(fps: DataFrame, radius: int = 2, cap: int | None = None) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp) that connect the
-    same sets as all pairs within the radius do; radius 0, 1 or 2."""
-    if radius not in (0, 1, 2):
-        raise ValueError("radius must be 0, 1 or 2")
-    if not radius:
+    same sets as all pairs within the radius do."""
+    if radius < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    masks = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for k, m in enumerate(covering_masks(radius))]
-    dealt = fps.select("fp", F.explode(F.array(*masks)).alias("x")).select("fp", "x.t", "x.k")
-    shared = materialise(dealt.groupBy("t", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "k"), "buckets")
-    near = materialise(dealt.join(shared, ["t", "k"], "left_semi").select("fp").distinct(), "candidates")
-    if radius == 1:
-        other = near.select(F.col("fp").alias("b"))
-        return near.select("fp", F.explode(F.array(*_flips()[1:])).alias("b")).join(other, "b").select(F.col("fp").alias("a"), "b")
-    met = near.select("fp", F.explode(F.array(*_flips())).alias("centre")).groupBy("centre").agg(F.collect_set("fp").alias("fps"))
-    return met.where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+    groups = meet(fps.select("fp"), radius, cap).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
+    return groups.select("fps").mapInArrow(_chains(radius), "a long, b long").distinct()
+
+
+# edited copies
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(at, _ROWS)
-            sets = [sketch(t.as_py(), keep=None) for t in part.column(2)]
-            yield pa.RecordBatch.from_pydict({"fp": part.column(0), "digest": part.column(1), "n": pa.array([len(x) // 8 for x in sets], pa.int64()), "hashes": pa.array(sets, pa.binary())})
+def _candidates(radius: int, similarity: float, spanning: bool):
+    """For each bucket the pairs x, y of texts in different homes that may be
+    as similar as asked; spanning: only as many as would connect the homes, the
+    likeliest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs: list[tuple[int, int]] = []
+            for group in batch.column(0):
+                flat = group.values.flatten()
+                tid, near, n = (flat[k].to_numpy(zero_copy_only=False) for k in range(3))
+                homes = np.unique(flat[3].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                if homes.max(initial=0) == 0:
+                    continue
+                near = near.view(np.uint64)
+                counts = np.frombuffer(b"".join(flat[4].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+                found = []
+                for at in range(len(tid) - 1):
+                    rest = slice(at + 1, None)
+                    close = at + 1 + np.flatnonzero((np.bitwise_count(near[rest] ^ near[at]) <= radius) & (homes[rest] != homes[at]))
+                    both = n[close] + n[at]
+                    differ = np.concatenate([np.abs(counts[some] - counts[at]).sum(1) for some in np.array_split(close, len(close) // 4096 + 1)])
+                    keep = differ <= _differ_most(both, similarity)
+                    found += zip((differ[keep] / np.maximum(both[keep], 1)).tolist(), [at] * int(keep.sum()), close[keep].tolist(), strict=True)
+                if spanning:
+                    top = list(range(int(homes.max()) + 1))
+
+                    def root(h: int, top=top) -> int:
+                        while top[h] != h:
+                            top[h] = top[top[h]]
+                            h = top[h]
+                        return h
+
+                    chosen = []
+                    for _, i, j in sorted(found):
+                        a, b = root(homes[i]), root(homes[j])
+                        if a != b:
+                            top[a] = b
+                            chosen.append((i, j))
+                else:
+                    chosen = [(i, j) for _, i, j in found]
+                pairs += [tuple(sorted((int(tid[i]), int(tid[j])))) for i, j in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    return run
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                bodies = [t.as_py() for t in batch.column(1).slice(at, _ROWS)]
+                fps = pa.array([_signed(fingerprint(t, size)) for t in bodies], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, _ROWS), fps, pa.array([shingles(t).tobytes() for t in bodies], pa.binary())], ["tid", "fp", "hashes"])
+
+    return run
 
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            yield batch.filter(pa.array([estimate(a.as_py(), b.as_py(), None) >= similarity for a, b in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            alike = [jaccard(*(np.frombuffer(v.as_py(), np.uint64) for v in both)) >= similarity for both in sets]
+            yield batch.filter(pa.array(alike, pa.bool_())).select([0, 1])
 
     return run
 
 
-def similar(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b of fingerprints that have a text each (texts: fp, digest,
-    distinct) of the similarity asked for."""
-    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "named")
-    wanted = materialise(texts.join(named, "fp", "left_semi"), "wanted")
-    bodies = docs.select(text_bytes(text_col).alias("body"), text_digest(text_col).alias("digest")).join(wanted, "digest")
-    one = bodies.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("body").alias("body")).select("fp", "digest", "body")
-    sets = materialise(one.mapInArrow(_shingle_sets, "fp long, digest binary, n long, hashes binary"), "sets")
-    sizes = pairs.join(sets.select(F.col("fp").alias("a"), F.col("digest").alias("x"), F.col("n").alias("nx")), "a").join(sets.select(F.col("fp").alias("b"), F.col("digest").alias("y"), F.col("n").alias("ny")), "b")
-    # the similarity is at most the smaller size over the larger one
-    able = materialise(sizes.where(F.least("nx", "ny") / F.greatest("nx", "ny") >= similarity).select("a", "b", "x", "y"), "able")
-    first = able.join(sets.select(F.col("digest").alias("x"), F.col("hashes").alias("hx")), "x")
-    whole = first.join(sets.select(F.col("digest").alias("y"), F.col("hashes").alias("hy")), "y")
-    return materialise(whole.select("a", "b", "hx", "hy").mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
-
-
-def crossing(home: DataFrame, wide: int, beyond: int) -> DataFrame:
-    """All pairs a, b of over `beyond` and at most `wide` bits whose homes
-    differ. home: fp, home."""
-    masks = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(covering_masks(wide))]
-    dealt = home.select("fp", "home", F.explode(F.array(*masks)).alias("x")).select("fp", "home", "x.t", "x.k")
-    mixed = materialise(dealt.groupBy("t", "k").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("t", "k"), "mixed")
-    members = materialise(dealt.join(mixed, ["t", "k"], "left_semi"), "members")
-    most = members.groupBy("t", "k", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("t", "k").agg(F.max(F.struct("n", "home")).alias("most"))
-    outside = members.join(materialise(most.select("t", "k", F.col("most.home").alias("main")), "most"), ["t", "k"]).where("home <> main")
-    outside = materialise(outside.select("t", "k", F.col("fp").alias("a"), F.col("home").alias("of")), "outside")
-    met = members.join(outside, ["t", "k"]).where((F.col("home") != F.col("of")) & F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))).between(beyond + 1, wide))
-    return met.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-
-
-def wide_links(docs: DataFrame, text_col: str, owned: DataFrame, fps: DataFrame, near: DataFrame, wide: int, similarity: float, beyond: int = 2, seed: int = 11) -> DataFrame:
-    """Edges a, b of over `beyond` and at most `wide` bits whose texts are as
-    similar as asked; with near, the edges within `beyond`, they connect the
-    same sets as all of them do. owned: fp, digest; fps: the distinct fp."""
-    draw = random.Random(seed)
-    keys = [F.lit(_signed(draw.getrandbits(64))) for _ in covering_masks(wide)]
-    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k"), F.col("fp").bitwiseXOR(key).alias("rank")) for t, (m, key) in enumerate(zip(covering_masks(wide), keys, strict=True))]
-    dealt = fps.select("fp", F.explode(F.array(*tables)).alias("x")).select("fp", "x.t", "x.k", "x.rank")
-    hubs = dealt.groupBy("t", "k").agg(F.min("rank").alias("hub"), F.max("rank").alias("last")).where("hub < last")
-    hubs = materialise(hubs.select("t", "k", F.col("hub").bitwiseXOR(F.element_at(F.array(*keys), F.col("t") + 1)).alias("b")), "hubs")
-    met = dealt.join(hubs, ["t", "k"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))).between(beyond + 1, wide))
-    pairs = materialise(met.select(F.col("fp").alias("a"), "b").distinct(), "pairs")
-    one = owned.groupBy("fp").agg(F.min("digest").alias("digest"))
-    found = similar(docs, text_col, one, pairs, similarity)
-    labels = connected(near.union(found))
-    home = fps.select("fp", F.col("fp").alias("home"))
-    if labels is not None:
-        home = materialise(fps.select("fp").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("home")), "homes")
-    across = materialise(crossing(home, wide, beyond), "crossing")
-    texts = owned.select("fp", "digest").distinct()
-    return found.union(similar(docs, text_col, texts, across, similarity))
+def similar(docs: DataFrame, text_col: str, size: int, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b of fingerprints for those pairs x, y of texts (by tid) whose
+    whole sets of shingles are as similar as asked."""
+    wanted = few(materialise(pairs.select(F.explode(F.array("x", "y")).alias("tid")).distinct(), "wanted"))
+    bodies = docs.select(text_bytes(text_col).alias("body")).select(F.xxhash64("body").alias("tid"), "body").join(wanted, "tid", "left_semi")
+    every = bodies.mapInArrow(_shingle_sets(size), "tid long, fp long, hashes binary")
+    # one row for each text, and for each of those that share a tid
+    sets = materialise(every.groupBy("tid", "fp", F.xxhash64("hashes").alias("check")).agg(F.first("hashes").alias("hashes")).drop("check"), "sets")
+    one, two = (sets.select(F.col("tid").alias(t), F.col("fp").alias(f), F.col("hashes").alias(h)) for t, f, h in (("x", "a", "hx"), ("y", "b", "hy")))
+    whole = pairs.join(one, "x").join(two, "y").select("a", "b", "hx", "hy")
+    return materialise(whole.mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
+
+
+def _texts_that_meet(texts: DataFrame, wide: int, cap: int | None) -> DataFrame:
+    """bucket, tid: groups of bounded size, one of which each two texts share
+    whose word fingerprints are within the radius, or equal."""
+    cap = cap or CAP
+    distinct = materialise(texts.groupBy("near").agg(F.count(F.lit(1)).alias("n")), "nears")
+    twins = distinct.where("n > 1").select(F.xxhash64(F.lit("equal"), "near").alias("bucket"), F.col("near").alias("fp"))
+    places = materialise(meet(distinct.select(F.col("near").alias("fp")), wide, cap).unionAll(twins), "places")
+    members = materialise(places.join(texts.select(F.col("near").alias("fp"), "tid"), "fp").select("bucket", "tid"), "met")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+    large = few(materialise(sizes, "large"))
+    if large.isEmpty():
+        return members
+    # each block of a large one meets each other block
+    blocks = F.ceil(F.col("n") / cap).cast("long")
+    own = F.pmod(F.xxhash64("tid", "bucket"), blocks)
+    both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    parts = members.join(large, "bucket").select(F.explode(both).alias("bucket"), "tid")
+    return materialise(members.join(large, "bucket", "left_anti").unionAll(parts), "blocks")
+
+
+def wide_links(docs: DataFrame, text_col: str, size: int, owned: DataFrame, fps: DataFrame, edges: DataFrame, wide: int, similarity: float, cap: int | None = None) -> DataFrame:
+    """edges (a, b, of fingerprints) and those of similar texts whose word
+    fingerprints are within `wide` bits: together they connect what all such
+    links do. owned: as `fingerprints` gives it; fps: the distinct fp."""
+    texts = materialise(owned.select("tid", "near", "fp", "n", "cells").distinct(), "texts")
+    members = _texts_that_meet(texts, wide, cap)
+    for spanning in (True, False):
+        labels = connected(edges)
+        home = fps.select("fp", F.col("fp").alias("home"))
+        if labels is not None:
+            home = fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("home"))
+        known = materialise(texts.join(materialise(home, "homes"), "fp"), "known")
+        placed = members.join(known, "tid").groupBy("bucket").agg(F.collect_list(F.struct("tid", "near", "n", "home", "cells")).alias("group"), F.min("home").alias("lo"), F.max("home").alias("hi"))
+        pairs = materialise(placed.where("lo < hi").select("group").mapInArrow(_candidates(wide, similarity, spanning), "x long, y long").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        edges = materialise(edges.union(similar(docs, text_col, size, pairs, similarity)), "edges")
+    return edges
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int, wide: int | None, similarity: float, keyed: bool) -> DataFrame:
@@ -236,10 +399,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int
     (one fingerprint for each component) and component_id."""
     owned = materialise(fingerprints(docs, id_col, text_col, size, keyed or wide is not None), "fingerprints")
     fps = materialise(owned.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = links(fps, radius)
+    edges = materialise(links(fps, radius), "near")
     if wide is not None:
-        edges = materialise(edges, "near")
-        edges = edges.union(wide_links(docs, text_col, owned, fps, edges, wide, similarity, radius))
+        edges = wide_links(docs, text_col, size, owned, fps, edges, wide, similarity)
     labels = connected(edges)
     if labels is None:
         home = fps.select("fp", F.col("fp").alias("root"), F.col("rep").alias("component_id"))
@@ -249,7 +411,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int
         member = materialise(linked.join(first, "root").select("fp", "root", "least"), "member")
         joined = fps.join(member, "fp", "left")
         home = materialise(joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id")), "home")
-    return owned.join(home, "fp")
+    return lookup(owned.select("doc_id", "fp", *["digest"] * keyed), home, "fp")
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, wide: int | None = None, similarity: float = 0.8) -> DataFrame:
@@ -262,12 +424,9 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """docs with one row of each component: of the smallest id, and where texts
     of one component share that id, of the smallest digest. Rows of different
     components stay whatever their ids."""
-    i = F.col("doc_id")
     made = _grouped(docs, id_col, text_col, size, radius, wide, similarity, True)
-    best = made.where(i.eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias(KEY[2]))
-    stay = materialise(best.select(F.coalesce(i, F.lit(0)).alias(KEY[0]), i.isNull().alias(KEY[1]), KEY[2]), "stay")
-    own = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumns(dict(zip(KEY, (F.coalesce(own, F.lit(0)), own.isNull(), text_digest(text_col)), strict=True)))
-    # both steps deal by the same columns, so the texts move once; equal digests are of one component
-    left = rows.join(stay, KEY, "left_semi").dropDuplicates(KEY)
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = materialise(made.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"), F.first("root").alias("root")), "keys")
+    # a null id comes last
+    best = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best")), "best")
+    judged = lookup(rows, best, "root").select("doc_id", "digest", "times", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
+    return drop_keys(docs, F.col(f"`{id_col}`").cast("long"), text_digest(text_col), judged)

@@ -1,15 +1,18 @@
 """Exact and near dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from bagstone.llm import components, exact_dedup, simhash
+from bagstone.llm import common, components, exact_dedup, simhash
 
 
 def first(ids):
@@ -33,14 +36,55 @@ def test_exact_groups(docs, rows):
 
 
 def test_exact_copies_dropped(docs, rows, empty):
-    left = exact_dedup.drop_copies(docs)
-    assert left.columns == docs.columns
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
-    kept = [norm(r["text"]) for r in left.collect()]
-    assert len(kept) == len(set(kept)) and set(kept) == {norm(r[1]) for r in rows}
+    for how in ({}, {"digest": weak}):
+        left = exact_dedup.drop_copies(docs, **how)
+        assert left.columns == docs.columns
+        kept = [norm(r["text"]) for r in left.collect()]
+        assert len(kept) == len(set(kept)) and set(kept) == {norm(r[1]) for r in rows}
+        whole = {tuple(r) for r in docs.collect()}
+        assert all(tuple(r) in whole for r in left.collect())
     assert exact_dedup.assign(empty).count() == 0 and exact_dedup.drop_copies(empty).columns == empty.columns
 
 
+def weak(body):
+    """Texts of one length share it."""
+    return F.length(body).cast("string").cast("binary")
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.sampled_from(["a", "b", "a  b", "a\tb", "", None, "c c"])), max_size=12), clash=st.booleans())
+def test_exact_dedup_of_any_rows(spark, rows, clash):
+    """Digests of different texts may be equal: content decides."""
+    how = {"digest": weak} if clash else {}
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.assign(df, **how).collect()]
+    want = [(i, first(groups[norm(t)]), len(groups[norm(t)]), i == first(groups[norm(t)])) for i, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    left = [(r["doc_id"], norm(r["text"])) for r in exact_dedup.drop_copies(df, **how).collect()]
+    assert sorted(left, key=repr) == sorted(((first(ids), t) for t, ids in groups.items()), key=repr)
+
+
+def test_hot_groups_are_dealt_out(spark, monkeypatch):
+    """A third of all rows share one text."""
+    rows = [(k, "hot" if k % 3 == 0 else f"text {k % 40}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: tuple(r) for r in exact_dedup.assign(df).collect()}
+    joined = common.lookup
+    monkeypatch.setattr(exact_dedup, "lookup", lambda *a: joined(*a, share=10, least=1))
+    monkeypatch.setattr(simhash, "lookup", lambda *a: joined(*a, share=10, least=1))
+    assert {r["doc_id"]: tuple(r) for r in exact_dedup.assign(df).collect()} == want and want[3][1:3] == (0, 200)
+    near = {r["doc_id"]: r["component_id"] for r in simhash.assign(df).collect()}
+    assert {near[k] for k in range(0, 600, 3)} == {0} and near[1] == 1 and near[41] == 1
+    assert simhash.drop_near(df).count() == len(set(near.values()))
+    monkeypatch.setattr(common, "FEW", 0)
+    assert exact_dedup.drop_copies(df).count() == len({t for _, t in rows})
+
+
 def brute_fingerprint(text, size):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall("[^\x20\x09-\x0d]+", low)
@@ -88,135 +132,153 @@ def test_near_groups(docs, rows, empty):
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted({c for _, _, c in want}, key=str)
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3, 4])
-def test_masks_cover_every_pair(radius):
-    masks = simhash.covering_masks(radius)
-    assert len(masks) == 2 ** (radius + 1) - 1
+@pytest.mark.parametrize(("radius", "places"), [(1, 64), (2, 64), (3, 64), (4, 64), (5, 64), (2, 28), (5, 32), (5, 16), (2, 3)])
+def test_masks_cover_every_pair(radius, places):
     draw = random.Random(radius)
-    for _ in range(3000):
-        diff = sum(1 << b for b in draw.sample(range(64), radius))
+    bits = sorted(draw.sample(range(64), places))
+    masks = simhash.covering_masks(radius, bits)
+    assert len(masks) == 2 ** (radius + 1) - 1 and all(masks) and all(m < 1 << 64 for m in masks)
+    for _ in range(2000):
+        diff = sum(1 << b for b in draw.sample(bits, radius))
         assert any(not diff & m for m in masks)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2])
-def test_links_connect_the_same_sets(spark, radius):
-    draw, fps = random.Random(5), set()
-    for _ in range(12):
+def signed(fp):
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def drifting(seed, chains=12):
+    draw, fps = random.Random(seed), set()
+    for _ in range(chains):
         fp = draw.getrandbits(64)
-        for _ in range(12):  # a drifting chain
+        for _ in range(12):
             fps.add(fp)
             for b in draw.sample(range(64), draw.choice([1, 1, 2, 3])):
                 fp ^= 1 << b
-    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
-    table = spark.createDataFrame([(f,) for f in signed], "fp long")
-    labels = components.connected(simhash.links(table, radius))
+    return sorted(fps)
+
+
+def same_sets(labels, values, want):
     found = {r["node"]: r["label"] for r in labels.collect()} if labels else {}
-    want = brute_components([(f, f % (1 << 64)) for f in signed], radius)
     ours = {}
-    for f, w in zip(signed, want, strict=True):
-        ours.setdefault(found.get(f, f), set()).add(w)
-    assert all(len(v) == 1 for v in ours.values()) and len(ours) == len(set(want))
+    for v, w in zip(values, want, strict=True):
+        ours.setdefault(found.get(v, v), set()).add(w)
+    return all(len(v) == 1 for v in ours.values()) and len(ours) == len(set(want))
+
+
+@pytest.mark.parametrize(("radius", "cap"), [(0, None), (1, None), (2, None), (2, 4), (3, None), (5, None), (5, 6)])
+def test_links_connect_the_same_sets(spark, radius, cap):
+    values = [signed(f) for f in drifting(5)]
+    edges = simhash.links(spark.createDataFrame([(f,) for f in values], "fp long"), radius, cap)
+    assert same_sets(components.connected(edges), values, brute_components([(f, f % (1 << 64)) for f in values], radius))
+
+
+@pytest.mark.parametrize("radius", [2, 5])
+def test_large_buckets_are_split(spark, radius):
+    """A family of fingerprints that share most of their bits: every pair
+    within the radius is in some group, and no group is over the bound."""
+    draw, family = random.Random(3), random.Random(4).getrandbits(64)
+    fixed = sum(1 << b for b in draw.sample(range(64), 50))
+    fps = sorted({family & fixed | draw.getrandbits(64) & ~fixed for _ in range(400)} | set(drifting(1, 3)))
+    groups = {}
+    for r in simhash.meet(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), radius, 64).collect():
+        groups.setdefault(r["bucket"], set()).add(r["fp"])
+    assert max(map(len, groups.values())) <= 64
+    met = {frozenset(p) for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+    want = {frozenset((signed(a), signed(b))) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= radius}
+    assert want <= met
 
 
-def shingles(text, size=5):
+def brute_shingles(text, size=5):
     words = text.lower().split()
-    return {" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
-
-
-def test_sketches_estimate_similarity():
-    draw = random.Random(2)
-    words = [f"w{k}" for k in range(3000)]
-    for edits in (0, 1, 4, 12, 60):
-        a = draw.choices(words, k=400)
-        b = list(a)
-        for k in draw.sample(range(400), edits):
-            b[k] = "changed"
-        x, y = " ".join(a), " ".join(b)
-        true = len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
-        assert abs(simhash.estimate(simhash.sketch(x.encode()), simhash.sketch(y.encode())) - true) < 0.2
-    short = [b"a b c d e f g", b"a b c d e f h"]
-    assert simhash.estimate(*map(simhash.sketch, short)) == 0.5
-    assert simhash.estimate(b"", b"") == 1 and simhash.estimate(simhash.sketch(b"a"), b"") == 0
-
-
-def test_wide_links_find_edited_copies(spark):
-    draw, texts, groups = random.Random(8), [], []
+    return {" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def brute_jaccard(a, b):
+    x, y = brute_shingles(a), brute_shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(a=st.text(alphabet="ab cd ", max_size=60), b=st.text(alphabet="ab cd ", max_size=60))
+def test_similarity_is_exact_and_bounded(a, b):
+    x, y = (simhash.shingles(t.encode()) for t in (a, b))
+    assert simhash.jaccard(x, y) == pytest.approx(brute_jaccard(a, b))
+    differ = len(np.setxor1d(x, y))
+    assert np.abs(simhash.cells(x).astype(int) - simhash.cells(y)).sum() <= differ
+    assert (simhash.jaccard(x, y) >= 0.8) <= (differ <= simhash._differ_most(np.array(len(x) + len(y)), 0.8))
+
+
+def brute_near(texts, wide, similarity):
+    """component of each text by the stage's definition of a link."""
+    fps, words = [simhash.fingerprint(t.encode()) for t in texts], [simhash.word_fingerprint(t.encode()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2 or ((words[a] ^ words[b]).bit_count() <= wide and brute_jaccard(texts[a], texts[b]) >= similarity):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(texts))]
+
+
+def edited_copies(seed, families=30, most=4):
+    draw, texts, groups = random.Random(seed), [], []
     words = [f"word{k}" for k in range(5000)]
-    for g in range(40):
-        base = draw.choices(words, k=300)
-        for c in range(1 + g % 4):
+    for g in range(families):
+        base = draw.choices(words, k=draw.choice([40, 150, 300]))
+        for c in range(1 + g % most):
             copy = list(base)
-            for k in draw.sample(range(300), c):
+            for k in draw.sample(range(len(base)), min(len(base), c * draw.choice([1, 1, 4]))):
                 copy[k] = draw.choice(words)
             texts.append(" ".join(copy))
             groups.append(g)
+    return texts, groups
+
+
+@pytest.mark.parametrize("cap", [2048, 8])
+def test_edited_copies_are_those_of_brute_force(spark, monkeypatch, cap):
+    """With groups of texts that share their words, and buckets over the cap."""
+    monkeypatch.setattr(simhash, "CAP", cap)
+    texts, groups = edited_copies(8)
+    draw, many = random.Random(2), [f"w{k}" for k in range(60)]
+    for _ in range(30):  # the same words in other orders, some of them alike
+        draw.shuffle(many)
+        texts += [" ".join(many), " ".join([*many[1:], many[0]])]
+    base = draw.choices(many, k=400)
+    for k in range(40):  # a family, all near one text
+        texts.append(" ".join([*base[: 10 * k], f"new{k}", *base[10 * k + 1 :]]))
+    want = brute_near(texts, 5, 0.8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in simhash.assign(docs, wide=5).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert sorted(r["doc_id"] for r in simhash.drop_near(docs, wide=5).collect()) == sorted(set(want))
     narrow = {r["doc_id"]: r["component_id"] for r in simhash.assign(docs).collect()}
-    # nothing joins across groups, what 2 bits join stays joined, and most edited copies are found
-    assert all(groups[i] == groups[c] for i, c in got.items())
-    assert all(got[i] == got[c] for i, c in narrow.items())
-    copies = [i for i in got if i and groups[i] == groups[i - 1]]
-    assert sum(got[i] != i for i in copies) > 0.7 * len(copies) > sum(narrow[i] != i for i in copies)
-    assert simhash.drop_near(docs, wide=5).count() == len(set(got.values()))
-
-
-def edited(base, edits, seed):
-    """Copies of one text until one has a fingerprint 3 to 5 bits away."""
-    home = simhash.fingerprint(" ".join(base).encode())
-    for k in range(seed, seed + 4000):
-        draw, copy = random.Random(k), list(base)
-        for at in draw.sample(range(len(base)), edits):
-            copy[at] = f"new{k}x{at}"
-        if 3 <= (home ^ simhash.fingerprint(" ".join(copy).encode())).bit_count() <= 5:
-            return " ".join(copy)
-    raise AssertionError("no such copy")
-
-
-def test_wide_links_decide_by_whole_texts(spark):
-    """Pairs on both sides of 0.8; sketches misjudge some of them."""
-    words, texts = [f"word{k}" for k in range(5000)], []
-    for g, edits in enumerate([6, 7, 8, 9, 10, 11] * 5):
-        base = random.Random(g).choices(words, k=350)
-        texts += [" ".join(base), edited(base, edits, 10_000 * g)]
-    exact = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
-    assert any(exact) and not all(exact)
-    sketched = [simhash.estimate(simhash.sketch(a.encode()), simhash.sketch(b.encode())) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)]
-    assert sketched != exact
-    got = {r["doc_id"]: r["component_id"] for r in simhash.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wide=5).collect()}
-    assert [got[2 * k] == got[2 * k + 1] for k in range(len(exact))] == exact
-
-
-def test_wide_links_compare_all_of_a_bucket(spark, monkeypatch):
-    """Pairs planted in one family of fingerprints, whose buckets are shared."""
-    draw, family = random.Random(3), random.Random(4).getrandbits(64)
-    fixed = sum(1 << b for b in draw.sample(range(64), 52))
-    fps, pairs = set(), []
-    while len(fps) < 1500:
-        fps.add(family & fixed | draw.getrandbits(64) & ~fixed)
-    for fp in draw.sample(sorted(fps), 100):
-        other = fp ^ sum(1 << b for b in draw.sample(range(64), 3 + len(pairs) % 3))
-        pairs.append((fp, other))
-    signed = lambda f: f - (1 << 64) if f >> 63 else f
-    every = sorted(fps | {b for _, b in pairs})
-    home = spark.createDataFrame([(signed(f), signed(f)) for f in every], "fp long, home long")
-    got = {(r["a"], r["b"]) for r in simhash.crossing(home, 5, 2).collect()}
-    want = {tuple(sorted((signed(a), signed(b)))) for k, a in enumerate(every) for b in every[:k] if 3 <= (a ^ b).bit_count() <= 5}
-    assert got == want and {tuple(sorted(map(signed, p))) for p in pairs} <= got
-    # the edges of the whole step connect what all similar pairs do: here texts are alike in planted pairs only
-    likes = {frozenset(map(signed, p)) for p in pairs}
-    asked = set()
-
-    def planted(docs, text_col, texts, pairs, similarity):
-        met = [(r["a"], r["b"]) for r in pairs.collect()]
-        asked.update(map(frozenset, met))
-        return spark.createDataFrame([p for p in met if frozenset(p) in likes], "a long, b long")
-
-    monkeypatch.setattr(simhash, "similar", planted)
-    owned = home.select("fp").selectExpr("fp", "cast('' as binary) AS digest")
-    none = spark.createDataFrame([], "a long, b long")
-    edges = {frozenset((r["a"], r["b"])) for r in simhash.wide_links(None, "text", owned, home.select("fp"), none, 5, 0.8).collect()}
-    assert edges == likes <= asked
+    assert len(set(narrow.values())) > len(set(want))
+    # most copies of a similarity of 0.8 or more are found
+    alike = [(a, b) for a, b in itertools.combinations(range(len(groups)), 2) if groups[a] == groups[b] and brute_jaccard(texts[a], texts[b]) >= 0.8]
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.9 * len(alike) > 20
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 7)), max_size=9))
+def test_drop_near_of_any_rows(spark, rows):
+    """Null and repeated ids: the rows that stay are those of brute force."""
+    pool, _ = edited_copies(3, families=3, most=3)
+    pool = [*pool, "", pool[0].upper()]
+    rows = [(i, pool[k]) for i, k in rows]
+    texts = [t for _, t in rows]
+    groups = {}
+    for (i, t), root in zip(rows, brute_near(texts, 5, 0.8), strict=True):
+        groups.setdefault(root, []).append((i is None, i, hashlib.sha256(t.encode()).digest(), t))
+    want = [(min(g)[1], min(g)[3]) for g in groups.values()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near(df, wide=5).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_drop_near_keeps_texts_that_share_an_id(spark):
