@@ -12,15 +12,27 @@ document, and different values different ones.
 A number is split into two halves A in Z_a and B in Z_b; each round adds a
 keyed hash of one half to the other, modulo its size. That is a permutation of
 a x b values whatever the hash; with the rounds undone in reverse it gives the
-value back. The hash is SHA-256 of key, kind, round and the other half.
+value back. The hash is SHA-256 of key, kind, round and the other half. Where a
+format has fewer values than that, a result outside is permuted again until it
+is inside (cycle walking), which is a permutation of the values inside.
+
+Dates of the years 0001 to 9999 move within their 400 years (0001-0400, ...,
+9601-9999). A date written with its day first moves among all days; one that
+only month first makes a date, so with a day from 13 on, among such days.
+
+The key comes from the caller or from the session's setting
+`spark.bagstone.pii.key`; there is no default, as whoever has the key can turn
+pseudonyms back.
 
 All of it is DataFrame functions: the text is split at the matches, each match
 is mapped, and the parts are joined again; texts without a match pass
 untouched.
 
 Defined cases: a null text stays null with no values found; an empty one stays
-empty. Values that fail validation are left as they are. Repeated rows give one
-result row each. The result of ``pseudonymise`` has all input columns.
+empty. Values that fail validation are left as they are, the year 0000 among
+them. A permutation may leave a value as it is, by chance; such a value isn't
+counted as replaced. Repeated rows give one result row each. The result of
+``pseudonymise`` has all input columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +42,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bagstone.llm.common import fresh
+
 ROUNDS = 10
-KEY = "change-me"
-P = "__pi_"
+KEY_SETTING = "spark.bagstone.pii.key"
+MIN_KEY = 16
 
 #: Patterns of the kinds, tried in this order at each place. Fixed values.
 PATTERNS: dict[str, str] = {
@@ -47,11 +61,21 @@ PATTERNS: dict[str, str] = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every value has one of these, and most texts have none.
 HINT = "[0-9@]"
-#: Days of a 400-year cycle of the calendar, 189 x 773.
-CYCLE = (189, 773)
-FIRST_DAY = "1800-01-01"
-#: Days after the 12th of their month in such a cycle, 9 x 9833.
-LATE = (9, 9833)
+#: Days of a 400-year cycle of the calendar, 189 x 773, and of the years 9601 to 9999.
+CYCLE, LAST = (189, 773), 145_731
+FIRST_DAY = "0001-01-01"
+#: Days after the 12th of their month in such a cycle, 9 x 9833, and in the last one.
+LATE, LAST_LATE = (9, 9833), 88_275
+#: The number of the last cycle.
+FINAL = 24
+
+
+def key_of(docs: DataFrame, key: str | None = None) -> str:
+    """The key given, or the session's."""
+    key = docs.sparkSession.conf.get(KEY_SETTING, None) if key is None else key
+    if not key or len(key) < MIN_KEY:
+        raise ValueError(f"give a key of {MIN_KEY} characters or more, or set {KEY_SETTING}")
+    return key
 
 
 def _hash(key: str, kind: str, step: Column, other: Column) -> Column:
@@ -78,6 +102,15 @@ def permute(value: Column, a: int | Column, b: int | Column, key: str, kind: str
     return F.aggregate(_steps(back), start, turn, lambda s: s.x * b + s.y)
 
 
+def _inside(value: Column, size: int, short: Column, a: int, b: int, key: str, kind: str, back: bool) -> Column:
+    """permute, and where `short` holds, again until the result is below size.
+    A walk leaves no more values than lie outside."""
+    once = permute(value, a, b, key, kind, back)
+    steps = F.sequence(F.lit(1), F.lit(a * b - size))
+    walked = F.aggregate(steps, once, lambda x, _: F.when(x >= size, permute(x, a, b, key, kind, back)).otherwise(x))
+    return F.when(short, walked).otherwise(once)
+
+
 def _let(value: Column, body) -> Column:
     """body of value, evaluated once however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -167,14 +200,20 @@ def _ipv4(c: Column, key: str, back: bool) -> Column:
 
 def _days(date: Column, key: str, kind: str, back: bool) -> Column:
     size = CYCLE[0] * CYCLE[1]
-    day = F.datediff(date, F.lit(FIRST_DAY).cast("date")).cast("long")
+    first = F.lit(FIRST_DAY).cast("date")
+    day = F.datediff(date, first).cast("long")
     cycle = F.floor(day / size)
-    return F.date_add(F.lit(FIRST_DAY).cast("date"), (cycle * size + permute(F.pmod(day, F.lit(size)), *CYCLE, key, kind, back)).cast("int"))
+    moved = _inside(F.pmod(day, F.lit(size)), LAST, cycle == FINAL, *CYCLE, key, kind, back)
+    return F.date_add(first, (cycle * size + moved).cast("int"))
+
+
+def _valid(date: Column) -> Column:
+    return date.isNotNull() & (F.year(date) >= 1)
 
 
 def _date(c: Column, key: str, back: bool) -> Column:
     date = F.try_to_date(c, "yyyy-MM-dd")
-    return F.when(date.isNotNull() & (c >= "0001"), F.date_format(_days(date, key, "date", back), "yyyy-MM-dd")).otherwise(c)
+    return F.when(_valid(date), F.date_format(_days(date, key, "date", back), "yyyy-MM-dd")).otherwise(c)
 
 
 def _day(c: Column, key: str, back: bool) -> Column:
@@ -183,14 +222,15 @@ def _day(c: Column, key: str, back: bool) -> Column:
     forward, other = F.try_to_date(digits, "ddMMyyyy"), F.try_to_date(digits, "MMddyyyy")
     # a month-first date may turn into one that reads day-first, so each order keeps its own
     first = F.date_format(_days(forward, key, "day", back), "ddMMyyyy")
-    return F.when(forward.isNotNull(), _poured(c, first)).when(other.isNotNull(), _poured(c, F.date_format(_walk(other, key, back), "MMddyyyy"))).otherwise(c)
+    return F.when(_valid(forward), _poured(c, first)).when(_valid(other), _poured(c, F.date_format(_late(other, key, back), "MMddyyyy"))).otherwise(c)
 
 
-def _walk(date: Column, key: str, back: bool) -> Column:
+def _late(date: Column, key: str, back: bool) -> Column:
     """Month-first dates that can't be read day-first are those with a day from
     13 to the month's end; those of a 400-year cycle are permuted among
     themselves, all of them."""
-    origin = (F.floor(F.year(date) / 400) * 400).cast("int")
+    cycle = F.floor((F.year(date) - 1) / 400)
+    origin = (cycle * 400 + 1).cast("int")
     zero = F.make_date(origin, F.lit(1), F.lit(1))
     # 12 days of this month and of each before it aren't counted
     index = F.datediff(date, zero).cast("long") - ((F.year(date) - origin) * 12 + F.month(date)) * 12
@@ -204,7 +244,7 @@ def _walk(date: Column, key: str, back: bool) -> Column:
         m = F.array_max(F.filter(F.array(guess - 1, guess, guess + 1), lambda m: F.datediff(opens(m), zero) - m * 12 <= t))
         return _let(m, lambda m: F.date_add(zero, (t + (m + 1) * 12).cast("int")))
 
-    return _let(permute(index, *LATE, key, "monthday", back), new)
+    return _let(_inside(index, LAST_LATE, cycle == FINAL, *LATE, key, "monthday", back), new)
 
 
 def _email(c: Column, key: str, back: bool) -> Column:
@@ -247,7 +287,7 @@ def kind_of(match: Column) -> Column:
     return out
 
 
-def pseudonym(match: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(match: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one matched value, or the value of a pseudonym."""
     out = match
     for kind, pattern in reversed(PATTERNS.items()):
@@ -255,9 +295,10 @@ def pseudonym(match: Column, key: str = KEY, back: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", back: bool = False, found_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", back: bool = False, found_col: str | None = None) -> DataFrame:
     """docs with the personal values of the text replaced; found_col adds the
     number of values that were replaced."""
+    key, held = key_of(docs, key), fresh("done", docs)
     text = F.col(f"`{text_col}`")
     matches = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
     mapped = F.transform(matches, lambda m: pseudonym(m, key, back))
@@ -269,11 +310,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", back:
         return F.struct(F.array_join(parts, "").alias("text"), F.aggregate(changed, F.lit(0).cast("long"), lambda n, x: n + x).alias("n"))
 
     done = F.when(text.rlike(HINT) & text.rlike(ANY), _let(mapped, joined)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
-    made = docs.withColumn(f"{P}done", done)
-    out = made.withColumn(text_col, F.col(f"{P}done.text"))
+    out = docs.withColumn(held, done).withColumn(text_col, F.col(f"{held}.text"))
     if found_col is not None:
-        out = out.withColumn(found_col, F.col(f"{P}done.n"))
-    return out.drop(f"{P}done")
+        out = out.withColumn(found_col, F.col(f"{held}.n"))
+    names = [*docs.columns, *([found_col] if found_col is not None and found_col not in docs.columns else [])]
+    return out.select(*(F.col(f"`{c}`") for c in names))
 
 
 def compiled() -> re.Pattern[str]:

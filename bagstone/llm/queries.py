@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 from collections.abc import Callable
 
@@ -46,7 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="n_replaced")
+    """With the session's key, or where it has none, with one drawn for this
+    result: its pseudonyms are then linked among each other only."""
+    key = spark.conf.get(pii.KEY_SETTING, None) or secrets.token_hex(16)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key, found_col="n_replaced")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, URL rules and pseudonyms by brute force."""
 
 import glob
+import hashlib
 import random
 import re
 import zlib
@@ -180,33 +181,155 @@ def luhn(digits):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
-VALUES = ["4111 1111 1111 1111", "5500005555555559", "378282246310005", "3782 822463 10005", "(212) 555-0123", "+1 (988) 555-2485", "212-555-0199", "123-45-6789", "192.168.1.254", "2021-02-28", "0999-12-31", "31.12.1999", "12/25/2020", "12/31/2020", "first.last+9@mail7.example.com", "q@x.org", "ab@x.org"]
-INVALID = ["4111111111111112", "666-12-1234", "000-12-1234", "999.1.1.1", "2021-02-30", "99.99.2020", "1234", "112-555-0199", "1.2.3.4.5"]
+KEY = "a key for the tests"
+VALUES = ["4111 1111 1111 1111", "5500005555555559", "378282246310005", "3782 822463 10005", "(212) 555-0123", "+1 (988) 555-2485", "212-555-0199", "123-45-6789", "899-99-9999", "192.168.1.254", "2021-02-28", "0999-12-31", "0001-01-01", "9999-12-31", "9601-01-01", "31.12.1999", "31.12.9999", "01/01/0001", "12/25/2020", "12/31/2020", "12/31/9999", "01.13.0001", "first.last+9@mail7.example.com", "q@x.org", "ab@x.org"]
+INVALID = ["4111111111111112", "666-12-1234", "000-12-1234", "999.1.1.1", "2021-02-30", "0000-01-01", "01/01/0000", "99.99.2020", "1234", "112-555-0199", "1.2.3.4.5"]
 
 
-def changed(spark, texts, **how):
+def changed(spark, texts, key=KEY, **how):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    return [r["text"] for r in pii.pseudonymise(df, **how).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.pseudonymise(df, key, **how).orderBy("doc_id").collect()]
+
+
+def drawn(key, kind, step, other):
+    return int(hashlib.sha256(f"{key}|{kind}|{step}|{other}".encode()).hexdigest()[:12], 16)
+
+
+def brute_permute(value, a, b, key, kind):
+    x, y = divmod(value, b)
+    for step in range(10):
+        if step % 2 == 0:
+            x = (x + drawn(key, kind, step, y)) % a
+        else:
+            y = (y + drawn(key, kind, step, x)) % b
+    return x * b + y
+
+
+def walked(value, size, a, b, key, kind):
+    value = brute_permute(value, a, b, key, kind)
+    while value >= size:
+        value = brute_permute(value, a, b, key, kind)
+    return value
+
+
+def brute_days(d, key, kind):
+    """All days of each 400 years, counted one by one."""
+    start = (d.year - 1) // 400 * 400 + 1
+    zero = date(start, 1, 1)
+    size = (date(min(start + 399, 9999), 12, 31) - zero).days + 1
+    return zero + timedelta(walked((d - zero).days, size, 189, 773, key, kind))
+
+
+def brute_late(d, key):
+    start = (d.year - 1) // 400 * 400 + 1
+    days = [x for k in range((date(min(start + 399, 9999), 12, 31) - date(start, 1, 1)).days + 1) if (x := date(start, 1, 1) + timedelta(k)).day > 12]
+    return days[walked(days.index(d), len(days), 9, 9833, key, "monthday")]
+
+
+def poured(shape, digits):
+    each = iter(digits)
+    return "".join(next(each) if c.isdigit() else c for c in shape)
+
+
+def brute_email(value, key):
+    local, domain = value.split("@")
+    x, y = local[: len(local) // 2], local[len(local) // 2 :]
+
+    def shifted(part, other, step):
+        stream = "".join(hashlib.sha256(f"{key}|email{k}|{step}|{len(local)}|{other}".encode()).hexdigest() for k in range(2))
+        out = ""
+        for k, c in enumerate(part):
+            for low, n in ((48, 10), (65, 26), (97, 26)):
+                if low <= ord(c) < low + n:
+                    c = chr((ord(c) - low + int(stream[4 * k : 4 * k + 4], 16)) % n + low)
+                    break
+            out += c
+        return out
+
+    for step in range(10):
+        if step % 2 == 0:
+            x = shifted(x, y, step)
+        else:
+            y = shifted(y, x, step)
+    return f"{x}{y}@{domain}"
+
+
+def brute_pseudonym(value, key):
+    """One valid value of a known kind, in plain Python."""
+    digits = re.sub(r"\D", "", value)
+    if "@" in value:
+        return brute_email(value, key)
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        return brute_days(date.fromisoformat(value), key, "date").isoformat()
+    if re.fullmatch(r"\d\d[./]\d\d[./]\d{4}", value):
+        one, two, year = int(digits[:2]), int(digits[2:4]), int(digits[4:])
+        if two <= 12:
+            d = brute_days(date(year, two, one), key, "day")
+            return poured(value, f"{d.day:02}{d.month:02}{d.year:04}")
+        d = brute_late(date(year, one, two), key)
+        return poured(value, f"{d.month:02}{d.day:02}{d.year:04}")
+    if re.fullmatch(r"\d+(\.\d+){3}", value):
+        n = 0
+        for part in value.split("."):
+            n = n * 256 + int(part)
+        n = brute_permute(n, 65536, 65536, key, "ipv4")
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        areas = [a for a in range(1, 900) if a != 666]
+        n = brute_permute((areas.index(int(digits[:3])) * 99 + int(digits[3:5]) - 1) * 9999 + int(digits[5:]) - 1, 898, 99 * 9999, key, "ssn")
+        return poured(value, f"{areas[n // (99 * 9999)]:03}{n // 9999 % 99 + 1:02}{n % 9999 + 1:04}")
+    if len(digits) in (10, 11):
+        ten = digits[-10:]
+        n = brute_permute((int(ten[:3]) - 200) * 8_000_000 + int(ten[3:]) - 2_000_000, 800, 8_000_000, key, "phone")
+        return poured(value, digits[:-10] + f"{n // 8_000_000 + 200}{n % 8_000_000 + 2_000_000}")
+    k = len(digits) - 2
+    body = digits[0] + f"{brute_permute(int(digits[1:-1]), 10 ** (k - k // 2), 10 ** (k // 2), key, 'card'):0{k}}"
+    return poured(value, next(body + c for c in "0123456789" if luhn(body + c)))
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    """Every kind, the calendar's edges among them, in texts of several."""
+    draw, values = random.Random(9), list(VALUES)
+    for _ in range(40):
+        d = date(1, 1, 1) + timedelta(draw.randrange(3_652_059))
+        values += [f"{d.year:04}-{d.month:02}-{d.day:02}", f"{d.day:02}/{d.month:02}/{d.year:04}", f"{draw.randint(1, 898) % 666 + 1:03}-{draw.randint(1, 99):02}-{draw.randint(1, 9999):04}"]
+        values += [".".join(str(draw.randrange(256)) for _ in range(4)), f"{draw.randint(200, 999)}-{draw.randint(200, 999)}-{draw.randint(0, 9999):04}"]
+        values.append("".join(draw.choices("abcXYZ019._", k=draw.randint(1, 20))).strip("._") + "z@mail.example.org")
+    got = changed(spark, values)
+    assert got == [brute_pseudonym(v, KEY) for v in values]
+    together = "Of {} and {}, then {}."
+    some = [(values[k], values[k + 1], values[k + 2]) for k in range(0, 60, 3)]
+    assert changed(spark, [together.format(*v) for v in some]) == [together.format(*(brute_pseudonym(x, KEY) for x in v)) for v in some]
 
 
 def test_pseudonyms_keep_their_format(spark):
     out = changed(spark, VALUES)
     shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", s)))
     for old, new in zip(VALUES, out, strict=True):
-        assert re.fullmatch(pii.ANY, new)
+        assert re.fullmatch(pii.ANY, new) and new != old
         if "@" in old:
             assert shape(old.split("@")[0]) == shape(new.split("@")[0]) and old.split("@")[1] == new.split("@")[1]
         elif "192" not in old:
             assert shape(old) == shape(new)
     assert all(luhn(re.sub(r"\D", "", v)) for v in out[:4])
-    assert [date.fromisoformat(v) for v in out[9:11]] and all(int(o) < 256 for o in out[8].split("."))
-    assert sum(a != b for a, b in zip(VALUES, out, strict=True)) >= len(VALUES) - 2
     assert changed(spark, out, back=True) == VALUES
-    assert changed(spark, VALUES, key="other") != out
+    assert changed(spark, VALUES, key="another key of the tests") != out
+
+
+def test_dates_of_the_last_years_are_permuted(spark):
+    """The last cycle is short, so some of its days walk; each kind stays a
+    permutation."""
+    days = [date(9999, 12, 31) - timedelta(k) for k in range(1500)]
+    for old in ([d.isoformat() for d in days], [f"{d:%d.%m.}{d.year}" for d in days], [f"{d:%m/%d/}{d.year}" for d in days if d.day > 12]):
+        new = changed(spark, old)
+        assert new == [brute_pseudonym(v, KEY) for v in old] if len(old[0]) == 10 and "-" in old[0] else True
+        assert len(set(new)) == len(old) and changed(spark, new, back=True) == old
+        years = [int(re.search(r"\d{4}", v)[0]) for v in new]
+        assert min(years) >= 9601 and max(years) <= 9999
 
 
 def test_month_first_dates_all_move(spark):
-    """Every month-first-only date of some years, to the month's end."""
+    """Every month-first-only date of a year, to the month's end."""
     days = [date(1999, 1, 1) + timedelta(k) for k in range(366)]
     old = [f"{d:%m/%d/%Y}" for d in days if d.day > 12] + ["12/31/2020", "01.30.1999"]
     new = changed(spark, old)
@@ -217,6 +340,17 @@ def test_month_first_dates_all_move(spark):
     assert all(a != b for a, b in zip(old[-2:], new[-2:], strict=True))
 
 
+def test_pseudonyms_need_a_key(spark, docs):
+    for none in (None, "", "short"):
+        with pytest.raises(ValueError, match="key"):
+            pii.pseudonymise(docs, none)
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        assert changed(spark, VALUES[:3], key=None) == changed(spark, VALUES[:3])
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pseudonyms_leave_the_rest(spark, docs, rows, empty):
     assert changed(spark, INVALID) == INVALID
     text = "Write to first.last+9@mail7.example.com, or call +1 (988) 555-2485."
@@ -227,10 +361,12 @@ def test_pseudonyms_leave_the_rest(spark, docs, rows, empty):
     assert all(x != y for x, y in zip(side.split(" ")[:3], ["4111111111111111", "27.65.93.188", "5500005555555559"], strict=True)) and "555-0123" not in side
     assert a.startswith("Write to ") and a.endswith(".") and b.startswith(a + "\nAgain: ")
     assert re.findall(r"\(\d+\) \d+-\d+", b)[0] == re.findall(r"\(\d+\) \d+-\d+", b)[1] != "(988) 555-2485"
-    out = pii.pseudonymise(docs, found_col="n_replaced")
+    out = pii.pseudonymise(docs, KEY, found_col="n_replaced")
     assert out.columns == [*docs.columns, "n_replaced"]
     assert sorted(((r["doc_id"], r["text"], r["n_replaced"]) for r in out.collect()), key=repr) == sorted(((r[0], r[1], 0) for r in rows), key=repr)
-    assert pii.pseudonymise(empty).count() == 0
+    done = pii.pseudonymise(docs.withColumnRenamed("spans", "done"), KEY)
+    assert [r["done"] for r in done.orderBy("doc_id", "done").collect()].count("clash") == sum(r[-1] == "clash" for r in rows)
+    assert pii.pseudonymise(empty, KEY).count() == 0
 
 
 def test_permutation_is_one(spark):
