@@ -7,9 +7,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bagstone.llm import decontam, exact_dedup, licenses, packing, pii, quality, simhash, tokencounts, toxicity, urlfilter
-from bagstone.llm.common import scratch_root, table
+from bagstone.llm.common import materialise, scratch_root, table
+
+SECOND_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +36,26 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollup after the first batch, all documents, was committed twice."""
+    """The rollup of a table's life: all documents are loaded, and again under
+    a second tokenizer; their texts are revised, each run of white space to one
+    blank; those with a toxic label are withdrawn; every batch comes twice; the
+    batches are folded into one."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    revised = docs.withColumn("text", exact_dedup.normalised(F.col("text")))
+    first = materialise(tokencounts.counted(docs), "counts")
+    second = materialise(tokencounts.counted(docs, SECOND_VOCABULARY), "counts")
+    after = materialise(tokencounts.counted(revised), "counts")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     rollup = tokencounts.Rollup(spark, f"{scratch_root(spark)}/rollup-{uuid.uuid4().hex[:8]}")
-    deltas = tokencounts.inserts(tokencounts.counted(table(spark, sf_dir, "documents")))
-    rollup.commit("documents", deltas)
-    rollup.commit("documents", deltas)
+    batches = {
+        "load": tokencounts.inserts(first),
+        "second tokenizer": tokencounts.inserts(second),
+        "revise": tokencounts.revisions(first, after),
+        "withdraw": tokencounts.deletes(after.unionByName(second).join(toxic, "doc_id", "left_semi")),
+    }
+    for name, deltas in [*batches.items(), *batches.items()]:
+        rollup.commit(name, deltas)
+    rollup.compact("folded")
     return rollup.totals()
 
 

@@ -11,13 +11,16 @@ sums over committed batches, so a batch never rereads older documents.
 Commits are idempotent: a batch is written aside, then renamed to
 ``batch=<name>``. A rename onto an existing batch fails, the late copy is
 deleted, and the first commit stands; a retried or repeated batch therefore
-counts once. ``compact`` folds named batches into one; a marker written with
-it names what it replaces, and readers skip those, so that a crash before the
-old folders are deleted doesn't count them twice.
+counts once. ``compact`` folds the batches so far into one; a marker written
+with it names what it replaces, and readers skip those. It deletes nothing, as
+totals read earlier may still be at the old folders; ``vacuum`` does, once no
+such reader is left.
 
 Defined cases: null text counts as empty, 0 tokens; a null source, language or
 version is a group of its own; null counts are 0. Repeated rows of one batch
-are separate events and count each. Groups whose sums are all zero are left
+are separate events and count each. Deltas add up in any order: a delete that
+comes before its insert, or without one, gives negative totals, which stay
+visible until the insert is committed. Groups whose sums are all zero are left
 out of the totals. An empty batch commits and changes nothing.
 """
 
@@ -157,8 +160,9 @@ class Rollup:
         if len(live) < 2:
             return False
         rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.root}/{f}/sums" for f in live))
-        if not self._publish(self._folder(name), rows, sorted(known | set(live))):
-            return False
-        for folder in live:
+        return self._publish(self._folder(name), rows, sorted(known | set(live)))
+
+    def vacuum(self) -> None:
+        """Deletes the folders that a compaction has replaced."""
+        for folder in self._replaced() & set(self._folders()):
             delete_path(self.spark, f"{self.root}/{folder}")
-        return True

@@ -1,5 +1,6 @@
 """Packing, token counts, decontamination, licences against brute force."""
 
+import base64
 import hashlib
 import itertools
 import re
@@ -82,7 +83,48 @@ def test_token_rollup(spark, docs, rows, exact, empty, tmp_path):
     assert roll.compact("folded") and totals() == moved
     assert not roll.commit("first", tokencounts.inserts(counted)) and totals() == moved
     assert roll.commit("nothing", tokencounts.inserts(tokencounts.counted(empty))) and totals() == moved
-    assert not roll.compact("folded")
+    # totals read before a compaction are not cut off by it, nor by a later one
+    before = roll.totals()
+    assert roll.compact("again") and totals() == moved
+    assert {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in before.collect()} == moved
+    roll.vacuum()
+    assert totals() == moved and len(roll._folders()) == 1 and not roll.compact("once more")
+    assert not roll.commit("first", tokencounts.inserts(counted)) and not roll.commit("folded", tokencounts.inserts(counted))
+
+
+def test_deltas_add_up_in_any_order(spark, docs, tmp_path):
+    """A delete without an insert is negative until the insert comes."""
+    roll = tokencounts.Rollup(spark, f"file://{tmp_path}/early")
+    some = tokencounts.counted(docs).where("doc_id = 0")
+    n = some.first()["tokens"]
+    assert roll.commit("out", tokencounts.deletes(some))
+    assert [(r["documents"], r["tokens"]) for r in roll.totals().collect()] == [(-1, -n)] and n > 0
+    assert roll.commit("in", tokencounts.inserts(some)) and roll.totals().count() == 0
+
+
+def test_token_count_query(spark, tmp_path):
+    """The registered query, counted by hand."""
+    import tiktoken
+
+    from bagstone.llm import queries
+
+    texts = ["a  b\n\nc", "", None, "Une phrase  très longue " * 50, "toxic   words", "toxic again", "a  b\n\nc", "<|endoftext|>  x"]
+    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}") for k, t in enumerate(texts)] + [(5, "toxic again", "en", "s0"), (None, "no  id", "en", "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1), (5, 1), (5, 1), (6, 0), (99, 1), (None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    one = lambda t: len(tokens.encoder()(t or ""))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("multi", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t, lang, source in rows:
+        if i in (4, 5):
+            continue
+        flat = re.sub("[\x20\x09-\x0d]+", " ", t or "")
+        for version, n in (("byte_bpe_50k.json", one(flat)), ("byte_bpe_multi_50k.tiktoken", len(multi.encode_ordinary(t or "")))):
+            d, s = want.get((source, lang, version), (0, 0))
+            want[(source, lang, version)] = (d + 1, s + n)
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in queries.op6_token_counts(spark, f"file://{tmp_path}").collect()}
+    assert got == want
 
 
 ITEMS = [(1, "quick brown fox jumps over the lazy dog again and"), (2, "one"), (10, "One"), (3, None), (4, ""), (5, "lazy dog again"), (6, " ".join(f"w{k}x{k}" for k in range(100, 125))), (None, "text")]
