@@ -2,11 +2,15 @@
 
 Model: P(grade > k) = sigmoid(w.x - b_k) for ordered thresholds b_0 < b_1 < ...
 with one weight vector w for all of them; the score of a text is the expected
-severity, the sum of those probabilities. x is sparse: 1 for each feature that
-a text has, where features are its words and their first four and five bytes,
-hashed. A text is rejected from the expected severity on that parts the fit's
-toxic rows from its clean ones best, the two classes weighing the same; a text
-without features never is.
+severity, the sum of those probabilities. w and b maximise the likelihood of the
+rows' grades, P(grade = k) = P(grade > k - 1) - P(grade > k), less a quadratic
+penalty on w; toxic rows weigh as much as clean ones in all, so severities are
+those of a corpus that is half toxic. x is sparse: for each feature that a text has its log-odds in the
+fit, so that one telling word moves a text further than many that tell little;
+features are its words and their first four and five bytes, hashed. A text is
+rejected from the expected severity on that parts the fit's toxic rows from its
+clean ones best, the two classes weighing the same; a text without features
+never is. Its grade is 0 then, and else the likeliest of the others.
 
 Training: labels say toxic or not. The fit uses at most `MAX_LABELLED` labelled
 rows, those with the smallest hash of the id, and keeps the `MAX_FEATURES`
@@ -42,7 +46,6 @@ MAX_FEATURES = 4_096
 MIN_ROWS = 4
 #: A word gives up to three features.
 GRADE_CUTS = (4, 10)
-P = "__tx_"
 _STRIP = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
@@ -68,15 +71,15 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - eta, -50, 50)))
 
     def severity(self, text: bytes) -> tuple[float, int]:
-        """Expected severity and the likeliest grade."""
+        """Expected severity and the likeliest grade over 0."""
         if not len(self.thresholds):
             return 0.0, 0
         found = self.weights.keys() & set(map(zlib.crc32, features_of(set(words_of(text)))))
         # in one order, as the sum's last digits depend on it
         eta = sum(sorted(self.weights[h] for h in found))
         over = self.expected(eta)
-        share = np.diff(np.concatenate([[0.0], 1 - over, [1.0]]))
-        return float(over.sum()), int(share.argmax())
+        share = np.diff(np.concatenate([1 - over, [1.0]]))
+        return float(over.sum()), 1 + int(share.argmax())
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     usable = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
     some = usable.orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), text_bytes(text_col).alias("body"))
-    # at most max_labelled small rows
-    joined = rows.join(F.broadcast(some), "i").select("body", "y")
+    # at most max_labelled small rows, even where documents share an id
+    joined = rows.join(F.broadcast(some), "i").select("body", "y").limit(max_labelled)
     got = joined.mapInArrow(_extract, "toxic int, hashes binary").toArrow().to_pydict()
     # in one order, whatever order the rows came in
     pairs = sorted(zip(got["toxic"], got["hashes"], strict=True))
@@ -118,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     place = np.full(len(feature), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
-    weights, thresholds = _descend(row[keep], place[column][keep], grade, len(hashes), np.abs(odds[chosen]))
+    weights, thresholds = _descend(row[keep], place[column][keep], grade, np.abs(odds[chosen]))
     model = Model({int(feature[c]): float(w) for c, w in zip(chosen, weights, strict=True) if w}, thresholds)
     eta = np.bincount(row[keep], weights=weights[place[column][keep]], minlength=len(hashes))
     model.reject_from = float(model.expected(_cut(eta, toxic)).sum())
@@ -139,42 +142,57 @@ def _cut(eta: np.ndarray, toxic: np.ndarray) -> float:
     return max(low + (high - low) / 4, 1e-6)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, rows: int, scale: np.ndarray, rounds: int = 300, l2: float = 1e-2, first: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Proportional-odds likelihood by Adam; the gaps between thresholds are
-    exponentials, so they stay in order. The cumulative logits are
-    fitted as binary losses with shared weights, and each class of a threshold
-    weighs as much as the other. The first line, toxic or not, is the label's
-    own and weighs `first` times as much as the graded ones. A feature counts as much as its log-odds, so
-    that one telling word moves a text further than many that tell little."""
+def _balanced(grade: np.ndarray) -> np.ndarray:
+    toxic = grade > 0
+    return np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
+
+
+def _loss(w: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, weight: np.ndarray, scale: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log-likelihood of the grades under the ordered
+    thresholds b, plus l2/2 of w's square, and its gradients by w and b."""
+    rows, each, at = len(grade), scale[column], np.arange(len(grade))
+    eta = np.bincount(row, weights=w[column] * each, minlength=rows)
+    # over[k] = P(grade > k - 1): 1 at first, 0 at last
+    over = np.ones((rows, len(b) + 2))
+    over[:, 1:-1] = 1 / (1 + np.exp(np.clip(b[None, :] - eta[:, None], -50, 50)))
+    over[:, -1] = 0
+    high, low = over[at, grade], over[at, grade + 1]
+    share = np.maximum(high - low, 1e-12)
+    by_eta = (high + low - 1) * weight
+    gb = np.zeros(len(b) + 2)
+    np.add.at(gb, grade, high * (1 - high) / share * weight)
+    np.add.at(gb, grade + 1, -low * (1 - low) / share * weight)
+    gw = np.bincount(column, weights=by_eta[row] * each, minlength=len(scale)) + l2 * w
+    return float(-np.log(share) @ weight + l2 / 2 * (w @ w)), gw, gb[1:-1]
+
+
+def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, scale: np.ndarray, rounds: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the largest penalised likelihood, by Adam; the
+    gaps between thresholds are exponentials, so they stay in order."""
     levels, columns = int(grade.max()), len(scale)
-    w, each = np.zeros(columns), scale[column]
-    raw = np.concatenate([[2.0], np.full(levels - 1, 0.5)])
-    above = grade[:, None] > np.arange(levels)[None, :]
-    share = np.clip(above.mean(0), 1 / rows, 1 - 1 / rows)
-    weight = np.where(above, 0.5 / share, 0.5 / (1 - share)) / rows
-    weight[:, 0] *= first
-    m, v = np.zeros(columns + levels), np.zeros(columns + levels)
+    raw, w = np.concatenate([[2.0], np.full(levels - 1, -0.5)]), np.zeros(columns)
+    weight, m, v = _balanced(grade), np.zeros(columns + levels), np.zeros(columns + levels)
     for step in range(1, rounds + 1):
-        b = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        eta = np.bincount(row, weights=w[column] * each, minlength=rows)
-        off = weight * (1 / (1 + np.exp(np.clip(b[None, :] - eta[:, None], -50, 50))) - above)
-        gw = np.bincount(column, weights=off.sum(1)[row] * each, minlength=columns) + l2 * w
-        gb = -off.sum(0)
+        _, gw, gb = _loss(w, _ordered(raw), row, column, grade, weight, scale, l2)
         # the chain through the running sum of the gaps
         tail = np.cumsum(gb[::-1])[::-1]
         g = np.concatenate([gw, tail[:1], tail[1:] * np.exp(raw[1:])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w -= move[:columns]
-        raw -= move[columns:]
-    return w * scale, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+        w, raw = w - move[:columns], raw - move[columns:]
+    return w * scale, _ordered(raw)
 
 
-def _kernel(model: Model):
+def _ordered(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+
+
+def _kernel(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.severity(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([g for _, g in found], pa.int32())], ["doc_id", "severity", "grade"])
+            grades = [g if s >= least else 0 for s, g in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(grades, pa.int32())], ["doc_id", "severity", "grade"])
 
     return run
 
@@ -183,7 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """A row per input row: doc_id, severity, grade, rejected."""
     least = model.reject_from if reject_from is None else reject_from
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(_kernel(model), "doc_id long, severity double, grade int").withColumn("rejected", F.col("severity") >= least)
+    return rows.mapInArrow(_kernel(model, least), "doc_id long, severity double, grade int").withColumn("rejected", F.col("severity") >= least)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_from: float | None = None) -> DataFrame:

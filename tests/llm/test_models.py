@@ -2,6 +2,8 @@
 
 import glob
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -49,6 +51,78 @@ def test_toxicity(corpus, docs, empty, rows):
     assert toxicity.score(docs, model).count() == len(rows) and toxicity.score(empty, model).count() == 0
 
 
+def brute_features(text):
+    """The stripped words of a text, with four and five bytes of longer ones."""
+    out = set()
+    for word in (text or "").encode().lower().split():
+        while word and word[0] < 128 and not chr(word[0]).isalnum():
+            word = word[1:]
+        while word and word[-1] < 128 and not chr(word[-1]).isalnum():
+            word = word[:-1]
+        out |= {word} | ({word[:4] + b"\0"} if len(word) > 4 else set()) | ({word[:5] + b"\1"} if len(word) > 5 else set())
+    return out - {b""}
+
+
+def test_toxicity_scores_by_hand(corpus, docs, rows):
+    """Every row's severity, grade and verdict from the model's numbers."""
+    texts, labels = corpus
+    model = toxicity.fit(texts, labels)
+    every = [*rows, *((r["doc_id"], r["text"]) for r in texts.collect())]
+    want = []
+    for r in every:
+        eta = sum(model.weights.get(zlib.crc32(f), 0.0) for f in brute_features(r[1]))
+        over = [1.0, *(1 / (1 + math.exp(b - eta)) for b in model.thresholds), 0.0]
+        shares = [a - b for a, b in itertools.pairwise(over)]
+        severity = sum(k * p for k, p in enumerate(shares))
+        rejected = severity >= model.reject_from
+        want.append((r[0], round(severity, 9), max(range(1, len(shares)), key=shares.__getitem__) if rejected else 0, rejected))
+    both = docs.select("doc_id", "text").unionAll(texts)
+    got = [(r["doc_id"], round(r["severity"], 9), r["grade"], r["rejected"]) for r in toxicity.score(both, model).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r["grade"] for r in toxicity.score(texts, model).collect()} >= {0, 1, 2}
+    kept = toxicity.drop_toxic(both, model).collect()
+    assert sorted((r["doc_id"] for r in kept), key=repr) == sorted((w[0] for w in want if not w[3]), key=repr)
+
+
+def test_ordinal_likelihood():
+    """The gradients are those of the likelihood, and the fit is its optimum."""
+    draw = np.random.default_rng(5)
+    x = draw.random((80, 6)) < 0.4
+    row, column = np.nonzero(x)
+    grade = np.digitize(x @ np.array([2.0, 1, 0, 0, -1, 0.5]) + draw.normal(size=80), [1, 2, 3])
+    scale, l2, weight = np.array([1.0, 2, 0.5, 1, 1, 3]), 1e-2, toxicity._balanced(grade)
+    assert weight[grade > 0].sum() == pytest.approx(weight[grade == 0].sum())
+
+    def loss(w, b):
+        """From the definition, row by row."""
+        total = 0.0
+        for k in range(len(grade)):
+            over = [1.0, *(1 / (1 + math.exp(t - sum(w[c] * scale[c] for c in np.flatnonzero(x[k])))) for t in b), 0.0]
+            total -= weight[k] * math.log(over[grade[k]] - over[grade[k] + 1])
+        return total + l2 / 2 * sum(v * v for v in w)
+
+    w, b = draw.normal(size=6), np.array([0.2, 1.1, 1.9])
+    value, gw, gb = toxicity._loss(w, b, row, column, grade, weight, scale, l2)
+    assert value == pytest.approx(loss(w, b))
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-5
+        slope = (loss(w + step[:6], b + step[6:]) - loss(w - step[:6], b - step[6:])) / 2e-5
+        assert np.concatenate([gw, gb])[k] == pytest.approx(slope, abs=1e-6)
+    w, b = toxicity._descend(row, column, grade, scale, rounds=3000, l2=l2)
+    best = loss(w / scale, b)
+    assert np.all(np.diff(b) > 0)
+    for _ in range(60):
+        assert loss(w / scale + draw.normal(size=6) * 0.05, b + draw.normal(size=3) * 0.05) > best - 1e-6
+
+
+def test_models_take_a_bounded_sample(spark, corpus):
+    """Documents that share an id don't bring more rows to the driver."""
+    texts, labels = corpus
+    many = texts.unionAll(texts).unionAll(texts)
+    assert toxicity.score(texts, toxicity.fit(many, labels, max_labelled=300)).count() == 900
+    assert quality.score(texts, quality.fit(many, labels, max_labelled=300)).count() == 900
+
+
 def test_toxicity_is_repeatable(corpus):
     texts, labels = corpus
     a, b = toxicity.fit(texts, labels), toxicity.fit(texts.repartition(5), labels.repartition(4))
@@ -83,6 +157,83 @@ def test_quality_holds_out(corpus):
     assert np.array_equal(a.threshold, b.threshold) and np.array_equal(a.value, b.value)
 
 
+def brute_statistics(text):
+    """The statistics of quality.STATISTICS, character by character."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality.STATISTICS)
+    n, words, lines = len(raw), raw.split(), raw.split(b"\n")
+    share = lambda test: sum(map(test, raw)) / n
+    of = lambda chars: lambda b: chr(b) in chars
+    w = max(len(words), 1)
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    runs, at = 0, 0
+    while at + 3 <= n:
+        hit = all(65 <= b <= 90 for b in raw[at : at + 3])
+        runs, at = runs + hit, at + (3 if hit else 1)
+    counts = [raw.count(bytes([b])) / n for b in set(raw)]
+    return [
+        math.log(1 + n), math.log(1 + len(words)), math.log(1 + len(lines)), sum(map(len, words)) / w, max(map(len, words), default=0),
+        share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b <= 57), share(of(" \t\n\r\x0b\x0c")), share(lambda b: b > 127),
+        share(of(marks)), share(of("!")), share(of("|")), share(of("#$%&*<>@\\^_{}~")), len(set(words)) / w, len(set(lines)) / len(lines),
+        max((words.count(x) for x in set(words)), default=0) / w, sum(a == b for a, b in itertools.pairwise(words)) / w,
+        sum(x.isupper() for x in words) / w, sum(x[-1] < 128 and not chr(x[-1]).isalnum() for x in words) / w, n / len(lines),
+        share(of(",;")), share(of(".?")), runs / w, -sum(p * math.log(p) for p in counts),
+    ]
+
+
+def test_quality_scores_by_hand(corpus, docs, rows):
+    """Every row's score from its statistics, tree by tree."""
+    texts, labels = corpus
+    forest = quality.fit(texts, labels)
+    both = [*((r[0], r[1]) for r in rows if len(r[1] or "") < 20_000), *((r["doc_id"], r["text"]) for r in texts.collect())]
+    want = []
+    for i, text in both:
+        x, margin = brute_statistics(text), forest.base
+        assert quality.statistics((text or "").encode()) == pytest.approx(x, abs=1e-9)
+        for t in range(len(forest.left)):
+            node = 0
+            while forest.left[t, node]:
+                node = forest.left[t, node] + (x[forest.feature[t, node]] > forest.threshold[t, node])
+            margin += forest.value[t, node]
+        want.append((i, round(1 / (1 + math.exp(-margin)), 6)))
+    short = docs.select("doc_id", "text").where("coalesce(length(text), 0) < 20000").unionAll(texts)
+    got = quality.score(short, forest).collect()
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_first_split_is_the_best():
+    """The first tree's splits against a search of all thresholds."""
+    draw = np.random.default_rng(2)
+    x = np.round(draw.normal(size=(120, 4)), 1)
+    y = ((x[:, 2] > 0.3) ^ (draw.random(120) < 0.1)).astype(float)
+    forest = quality.grow(x, y, trees=1, bins=64)
+    p = y.mean()
+
+    def gain(rows, f, cut):
+        total = 0.0
+        for side, sign in ((rows, -1), (rows[x[rows, f] <= cut], 1), (rows[x[rows, f] > cut], 1)):
+            g, h = (y[side] - p).sum(), len(side) * p * (1 - p)
+            if sign > 0 and h < quality.MIN_CHILD:
+                return -1.0
+            total += sign * g * g / (h + quality.L2)
+        return total
+
+    for node in range(3):
+        rows = np.arange(120)
+        if node:
+            right = x[:, forest.feature[0, 0]] > forest.threshold[0, 0]
+            rows = np.flatnonzero(right == (node == 2))
+        best = max(gain(rows, f, cut) for f in range(4) for cut in np.unique(x[:, f]))
+        if forest.left[0, node]:
+            assert gain(rows, forest.feature[0, node], forest.threshold[0, node]) == pytest.approx(best)
+        else:
+            assert best <= 1e-6
+        g, h = (y[rows] - p).sum(), len(rows) * p * (1 - p)
+        assert forest.value[0, node] == pytest.approx(quality.RATE * g / (h + quality.L2))
+
+
 def test_forest_walks_like_a_tree():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(400, 6))
