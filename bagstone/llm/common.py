@@ -99,7 +99,7 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, key: str, share: int = 1000, least: int = 1000) -> DataFrame:
     """rows with the columns that found has for their key, which it has one row
     for. Both are written tables. Keys with over a thousandth of the rows, so a
     thousand at most, come by broadcast, and their rows are dealt out evenly for
