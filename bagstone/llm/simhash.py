@@ -24,9 +24,10 @@ least 0.8, computed from all shingles of the whole texts. Two things spare work
 and lose nothing: counts of the shingles' hashes in 128 cells bound the
 similarity from above, and pairs that are in one component already need no
 test. First each bucket gives the pairs that would connect its components, most
-similar ones first; then all pairs that are still in different components. A
-bucket of more than `CAP` texts, which may have few fingerprints, is compared
-block by block.
+similar ones first; then all pairs that are still in different components. The
+sets of a bucket's texts go to the pairs' block once, not to each pair. A bucket
+of more than `CAP` texts, which may have few fingerprints, is compared block by
+block.
 
 Defined cases: null and empty texts, or texts without words, have fingerprint
 zero and are linked like any other. Fewer words than a shingle: the whole
@@ -65,6 +66,8 @@ _COLUMN = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BLOCK = 1 << 16
 #: Texts whose shingle sets are held at a time.
 _ROWS = 256
+#: Bytes of shingle sets that a block of pairs needs.
+_SETS = 16 << 20
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -273,15 +276,36 @@ def links(fps: DataFrame, radius: int = 2, cap: int | None = None) -> DataFrame:
 # edited copies
 
 
-def _candidates(radius: int, similarity: float, spanning: bool):
+def _connected_first(order: np.ndarray, left: np.ndarray, right: np.ndarray, nodes: int, joins=None) -> list[int]:
+    """The positions of those pairs, in that order, that join two components;
+    joins: whether a pair does count."""
+    top, chosen, apart = list(range(nodes)), [], nodes
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    for at in order.tolist():
+        a, b = root(left[at]), root(right[at])
+        if a != b and (joins is None or joins(at)):
+            top[a] = b
+            chosen.append(at)
+            apart -= 1
+            if apart == 1:
+                break
+    return chosen
+
+
+def _candidates(radius: int, similarity: float, spanning: bool, room: int):
     """For each bucket the pairs x, y of texts in different homes that may be
-    as similar as asked; spanning: only as many as would connect the homes, the
-    likeliest first."""
+    as similar as asked, and a block of pairs whose sets fit a task; spanning:
+    only as many as would connect the homes, the likeliest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: list[tuple[int, int]] = []
-            for group in batch.column(0):
+            for bucket, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 flat = group.values.flatten()
                 tid, near, n = (flat[k].to_numpy(zero_copy_only=False) for k in range(3))
                 homes = np.unique(flat[3].to_numpy(zero_copy_only=False), return_inverse=True)[1]
@@ -293,33 +317,31 @@ def _candidates(radius: int, similarity: float, spanning: bool):
                 for at in range(len(tid) - 1):
                     rest = slice(at + 1, None)
                     close = at + 1 + np.flatnonzero((np.bitwise_count(near[rest] ^ near[at]) <= radius) & (homes[rest] != homes[at]))
-                    both = n[close] + n[at]
-                    differ = np.concatenate([np.abs(counts[some] - counts[at]).sum(1) for some in np.array_split(close, len(close) // 4096 + 1)])
-                    keep = differ <= _differ_most(both, similarity)
-                    found += zip((differ[keep] / np.maximum(both[keep], 1)).tolist(), [at] * int(keep.sum()), close[keep].tolist(), strict=True)
+                    differ = np.abs(counts[close] - counts[at]).sum(1)
+                    keep = differ <= _differ_most(n[close] + n[at], similarity)
+                    close, share = close[keep], differ[keep] / np.maximum(n[close] + n[at], 1)[keep]
+                    found.append((np.full(len(close), at, np.int32), close.astype(np.int32), share.astype(np.float32)))
+                i, j, share = (np.concatenate(c) for c in zip(*found, strict=True))
                 if spanning:
-                    top = list(range(int(homes.max()) + 1))
-
-                    def root(h: int, top=top) -> int:
-                        while top[h] != h:
-                            top[h] = top[top[h]]
-                            h = top[h]
-                        return h
-
-                    chosen = []
-                    for _, i, j in sorted(found):
-                        a, b = root(homes[i]), root(homes[j])
-                        if a != b:
-                            top[a] = b
-                            chosen.append((i, j))
-                else:
-                    chosen = [(i, j) for _, i, j in found]
-                pairs += [tuple(sorted((int(tid[i]), int(tid[j])))) for i, j in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["x", "y"])
+                    chosen = _connected_first(np.argsort(share, kind="stable"), homes[i], homes[j], int(homes.max()) + 1)
+                    i, j = i[chosen], j[chosen]
+                if len(i):
+                    yield _in_blocks(bucket, tid, n, i, j, room)
 
     return run
 
 
+def _in_blocks(bucket: int, tid: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, room: int) -> pa.RecordBatch:
+    """block, x, y: the sets that the pairs of a block need are of bounded
+    size, but for a text that alone is larger."""
+    parts = int(n[np.unique(np.concatenate([i, j]))].sum()) * 8 // room + 1
+    part = tid.view(np.uint64) % np.uint64(parts)
+    low, high = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+    block = (np.uint64(bucket % (1 << 64)) ^ (low * np.uint64(parts) + high) * _BASE).view(np.int64)
+    x, y = np.minimum(tid[i], tid[j]), np.maximum(tid[i], tid[j])
+    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(x), pa.array(y)], ["block", "x", "y"])
+
+
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,26 +354,44 @@ def _shingle_sets(size: int):
 
 
 def _verify(similarity: float):
+    """For each block of pairs edges a, b of fingerprints that connect what the
+    similar ones of them do; a pair that is connected already is not compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = zip(batch.column(2), batch.column(3), strict=True)
-            alike = [jaccard(*(np.frombuffer(v.as_py(), np.uint64) for v in both)) >= similarity for both in sets]
-            yield batch.filter(pa.array(alike, pa.bool_())).select([0, 1])
+            for pairs, group in zip(batch.column(0), batch.column(1), strict=True):
+                tid, fp, hashes = group.values.flatten()
+                tid, fp = tid.to_numpy(), fp.to_numpy()
+                sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in hashes]
+                places: dict[int, list[int]] = {}
+                for k, t in enumerate(tid.tolist()):
+                    places.setdefault(t, []).append(k)
+                x, y = (c.to_numpy().tolist() for c in pairs.values.flatten())
+                # texts that share a tid are all compared
+                both = [(a, b) for p, q in zip(x, y, strict=True) for a in places.get(p, ()) for b in places.get(q, ())]
+                left, right = (np.array([p[k] for p in both], np.int64) for k in (0, 1))
+                alike = lambda at: jaccard(sets[left[at]], sets[right[at]]) >= similarity  # noqa: E731, B023
+                chosen = _connected_first(np.arange(len(both)), left, right, len(sets), alike)
+                if chosen:
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[left[chosen]]), pa.array(fp[right[chosen]])], ["a", "b"])
 
     return run
 
 
 def similar(docs: DataFrame, text_col: str, size: int, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Edges a, b of fingerprints for those pairs x, y of texts (by tid) whose
-    whole sets of shingles are as similar as asked."""
-    wanted = few(materialise(pairs.select(F.explode(F.array("x", "y")).alias("tid")).distinct(), "wanted"))
+    """Edges a, b of fingerprints that connect what those pairs x, y of texts
+    (by tid) do whose whole sets of shingles are as similar as asked. A text's
+    set goes once to each block that has a pair with it."""
+    own = materialise(pairs.groupBy("x", "y").agg(F.min("block").alias("block")), "blocks")
+    needed = materialise(own.select("block", F.explode(F.array("x", "y")).alias("tid")).distinct(), "needed")
+    wanted = few(materialise(needed.select("tid").distinct(), "wanted"))
     bodies = docs.select(text_bytes(text_col).alias("body")).select(F.xxhash64("body").alias("tid"), "body").join(wanted, "tid", "left_semi")
     every = bodies.mapInArrow(_shingle_sets(size), "tid long, fp long, hashes binary")
     # one row for each text, and for each of those that share a tid
     sets = materialise(every.groupBy("tid", "fp", F.xxhash64("hashes").alias("check")).agg(F.first("hashes").alias("hashes")).drop("check"), "sets")
-    one, two = (sets.select(F.col("tid").alias(t), F.col("fp").alias(f), F.col("hashes").alias(h)) for t, f, h in (("x", "a", "hx"), ("y", "b", "hy")))
-    whole = pairs.join(one, "x").join(two, "y").select("a", "b", "hx", "hy")
-    return materialise(whole.mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
+    groups = needed.join(sets, "tid").groupBy("block").agg(F.collect_list(F.struct("tid", "fp", "hashes")).alias("group"))
+    asked = own.groupBy("block").agg(F.collect_list(F.struct("x", "y")).alias("pairs"))
+    return materialise(asked.join(groups, "block").select("pairs", "group").mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
 
 
 def _texts_that_meet(texts: DataFrame, wide: int, cap: int | None) -> DataFrame:
@@ -387,7 +427,7 @@ def wide_links(docs: DataFrame, text_col: str, size: int, owned: DataFrame, fps:
             home = fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("home"))
         known = materialise(texts.join(materialise(home, "homes"), "fp"), "known")
         placed = members.join(known, "tid").groupBy("bucket").agg(F.collect_list(F.struct("tid", "near", "n", "home", "cells")).alias("group"), F.min("home").alias("lo"), F.max("home").alias("hi"))
-        pairs = materialise(placed.where("lo < hi").select("group").mapInArrow(_candidates(wide, similarity, spanning), "x long, y long").distinct(), "pairs")
+        pairs = materialise(placed.where("lo < hi").select("bucket", "group").mapInArrow(_candidates(wide, similarity, spanning, _SETS), "block long, x long, y long"), "pairs")
         if pairs.isEmpty():
             break
         edges = materialise(edges.union(similar(docs, text_col, size, pairs, similarity)), "edges")

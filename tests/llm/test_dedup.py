@@ -244,6 +244,8 @@ def edited_copies(seed, families=30, most=4):
 def test_edited_copies_are_those_of_brute_force(spark, monkeypatch, cap):
     """With groups of texts that share their words, and buckets over the cap."""
     monkeypatch.setattr(simhash, "CAP", cap)
+    if cap < 100:
+        monkeypatch.setattr(simhash, "_SETS", 4000)
     texts, groups = edited_copies(8)
     draw, many = random.Random(2), [f"w{k}" for k in range(60)]
     for _ in range(30):  # the same words in other orders, some of them alike
