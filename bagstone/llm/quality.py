@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, fo
     some = usable.where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i"), folds)).orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), text_bytes(text_col).alias("body"))
     # at most max_labelled small rows, even where documents share an id
-    got = rows.join(F.broadcast(some), "i").select("y", "body").limit(max_labelled).mapInArrow(_numbers, "y int, x binary").toArrow()
+    found = rows.join(F.broadcast(some), "i").select("y", "body").mapInArrow(_numbers, "y int, x binary")
+    got = found.orderBy(F.xxhash64("x"), "x", "y").limit(max_labelled).toArrow()
     if not got.num_rows:
         return grow(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in got.column("x")])

@@ -98,8 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     some = usable.orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), text_bytes(text_col).alias("body"))
     # at most max_labelled small rows, even where documents share an id
-    joined = rows.join(F.broadcast(some), "i").select("body", "y").limit(max_labelled)
-    got = joined.mapInArrow(_extract, "toxic int, hashes binary").toArrow().to_pydict()
+    joined = rows.join(F.broadcast(some), "i").select("body", "y")
+    found = joined.mapInArrow(_extract, "toxic int, hashes binary")
+    got = found.orderBy(F.xxhash64("hashes"), "hashes", "toxic").limit(max_labelled).toArrow().to_pydict()
     # in one order, whatever order the rows came in
     pairs = sorted(zip(got["toxic"], got["hashes"], strict=True))
     del got
