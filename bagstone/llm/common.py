@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +136,19 @@ def drop_keys(docs: DataFrame, own_id: Column, own_digest: Column, judged: DataF
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is written meanwhile goes to Python in batches of about so many
+    bytes: for rows that hold a whole group each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes scratch tables that no later step reads."""
     for df in frames:

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bagstone.llm.common import drop_keys, few, lookup, materialise, text_bytes
+from bagstone.llm.common import batches_of, drop_keys, few, lookup, materialise, text_bytes
 from bagstone.llm.components import connected
 
 BITS = 64
@@ -67,7 +67,7 @@ _BLOCK = 1 << 16
 #: Texts whose shingle sets are held at a time.
 _ROWS = 256
 #: Bytes of shingle sets that a block of pairs needs.
-_SETS = 16 << 20
+_SETS = 4 << 20
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -391,7 +391,8 @@ def similar(docs: DataFrame, text_col: str, size: int, pairs: DataFrame, similar
     sets = materialise(every.groupBy("tid", "fp", F.xxhash64("hashes").alias("check")).agg(F.first("hashes").alias("hashes")).drop("check"), "sets")
     groups = needed.join(sets, "tid").groupBy("block").agg(F.collect_list(F.struct("tid", "fp", "hashes")).alias("group"))
     asked = own.groupBy("block").agg(F.collect_list(F.struct("x", "y")).alias("pairs"))
-    return materialise(asked.join(groups, "block").select("pairs", "group").mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
+    with batches_of(docs.sparkSession, _SETS):
+        return materialise(asked.join(groups, "block").select("pairs", "group").mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
 
 
 def _texts_that_meet(texts: DataFrame, wide: int, cap: int | None) -> DataFrame:
@@ -427,7 +428,8 @@ def wide_links(docs: DataFrame, text_col: str, size: int, owned: DataFrame, fps:
             home = fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("home"))
         known = materialise(texts.join(materialise(home, "homes"), "fp"), "known")
         placed = members.join(known, "tid").groupBy("bucket").agg(F.collect_list(F.struct("tid", "near", "n", "home", "cells")).alias("group"), F.min("home").alias("lo"), F.max("home").alias("hi"))
-        pairs = materialise(placed.where("lo < hi").select("bucket", "group").mapInArrow(_candidates(wide, similarity, spanning, _SETS), "block long, x long, y long"), "pairs")
+        with batches_of(docs.sparkSession, _SETS):
+            pairs = materialise(placed.where("lo < hi").select("bucket", "group").mapInArrow(_candidates(wide, similarity, spanning, _SETS), "block long, x long, y long"), "pairs")
         if pairs.isEmpty():
             break
         edges = materialise(edges.union(similar(docs, text_col, size, pairs, similarity)), "edges")

@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from bagstone.llm import decontam, licenses, packing, tokencounts, tokens
 
@@ -28,6 +30,12 @@ def test_encoder_equals_the_library(rows, exact):
         assert encode(text) == exact(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(text=st.one_of(st.text(max_size=60), st.text(alphabet="aA1 .,\n\t'\u00e9\u4e2d\U0001f600<|>endoftext", max_size=80)))
+def test_encoder_equals_the_library_on_any_text(text, exact):
+    assert tokens.encoder()(text) == exact(text)
+
+
 @pytest.mark.parametrize("length", [7, 1024])
 def test_packing(docs, rows, exact, length):
     pieces = packing.pack(docs, length=length, with_ids=True).collect()
