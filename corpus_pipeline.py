@@ -29,8 +29,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the smallest id stays: links
     of fingerprints within 2 bits, and of texts whose word fingerprints are
-    within 5 bits and whose sets of five-word shingles agree by 0.8."""
-    return simhash.drop_near(docs, radius=2, wide=5, similarity=0.8)
+    within 6 bits and whose sets of five-word shingles agree by 0.8."""
+    return simhash.drop_near(docs, radius=2, wide=6, similarity=0.8)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
