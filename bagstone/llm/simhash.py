@@ -225,10 +225,14 @@ def meet(fps: DataFrame, radius: int, cap: int | None = None) -> DataFrame:
     least = max(radius, cap.bit_length() - 1)
     out = None
     while True:
-        shared = few(materialise(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared"))
-        members = materialise(dealt.join(shared, "bucket"), "members")
+        counted = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        shared = materialise(counted.where("n > 1"), "shared")
+        # most shared buckets have two members, which are known by now
+        two = shared.where("n = 2").select("bucket", F.explode(F.array("lo", "hi")).alias("fp"))
+        crowded = few(materialise(shared.where("n > 2").select("bucket", "n"), "crowded"))
+        members = materialise(dealt.join(crowded, "bucket"), "members")
         fits = (F.col("n") <= cap) | (F.bit_count(F.bitwise_not("used")) <= least)
-        small = members.where(fits).select("bucket", "fp")
+        small = two.unionAll(members.where(fits).select("bucket", "fp"))
         out = small if out is None else out.unionAll(small)
         large = members.where(~fits).select("bucket", "used", "fp")
         if large.isEmpty():

@@ -167,7 +167,7 @@ def _loss(w: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray, gra
     return float(-np.log(share) @ weight + l2 / 2 * (w @ w)), gw, gb[1:-1]
 
 
-def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, scale: np.ndarray, rounds: int = 400, l2: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
+def _descend(row: np.ndarray, column: np.ndarray, grade: np.ndarray, scale: np.ndarray, rounds: int = 400, l2: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the largest penalised likelihood, by Adam; the
     gaps between thresholds are exponentials, so they stay in order."""
     levels, columns = int(grade.max()), len(scale)

@@ -307,9 +307,9 @@ def test_a_large_near_group_is_one(spark):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(edges=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
-def test_components(spark, edges):
-    labels = components.connected(spark.createDataFrame(edges, "a long, b long"))
+@given(edges=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14), last=st.sampled_from([0, 3, 1000]))
+def test_components(spark, edges, last):
+    labels = components.connected(spark.createDataFrame(edges, "a long, b long"), last=last)
     got = {r["node"]: r["label"] for r in labels.collect()} if labels else {}
     reach = {n: {n} for e in edges for n in e}
     for _ in range(15):
@@ -322,7 +322,8 @@ def test_components(spark, edges):
     assert all((got[a] == got[b]) == (b in reach[a]) for a in got for b in got)
 
 
-def test_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("last", [0, 100, 10_000])
+def test_a_long_chain_and_a_hub(spark, last):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 300)]
-    got = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components.connected(spark.createDataFrame(edges, "a long, b long"), last=last).collect()
     assert len(got) == 601 and len({r["label"] for r in got}) == 2
