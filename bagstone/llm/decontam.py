@@ -28,7 +28,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,11 +210,11 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def _tester(items: list[tuple[str, bytes]], size: int):
     held: list[WindowSet] = []
 
-    @F.pandas_udf(T.BooleanType())
+    @F.arrow_udf(T.BooleanType())
     def hit(body):
         if not held:
             held.append(WindowSet(items, size))
-        return body.map(lambda t: bool(held[0].scan(bytes(t))[1])).astype(bool)
+        return pa.array([bool(held[0].scan(t.as_py())[1]) for t in body], pa.bool_())
 
     return hit
 
@@ -229,17 +228,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def _cutter():
-    @F.pandas_udf(T.StringType())
+    @F.arrow_udf(T.StringType())
     def without(body, spans):
-        def one(t: bytes, hit) -> str:
-            at = [m.span() for m in _WORD.finditer(t.lower())] if len(hit) else []
+        def one(t: bytes, hit: list) -> str:
+            at = [m.span() for m in _WORD.finditer(t.lower())] if hit else []
             out, last = [], 0
             for a, b in sorted((x["a"], x["b"]) for x in hit):
                 out.append(t[last : at[a][0]])
                 last = at[b - 1][1]
             return b"".join([*out, t[last:]]).decode("utf-8", "replace")
 
-        return body.combine(spans, lambda t, hit: one(bytes(t), hit))
+        return pa.array([one(t.as_py(), hit) for t, hit in zip(body, spans.to_pylist(), strict=True)], pa.string())
 
     return without
 
@@ -247,12 +246,12 @@ def _cutter():
 def _spotter(items: list[tuple[str, bytes]], size: int):
     held: list[WindowSet] = []
 
-    @F.pandas_udf(_SPANS)
+    @F.arrow_udf(_SPANS)
     def hits(body, old):
         if not held:
             held.append(WindowSet(items, size))
-        both = [merged([*held[0].scan(bytes(t))[1], *((x["a"], x["b"]) for x in was)]) for t, was in zip(body, old, strict=True)]
-        return pd.Series([[{"a": a, "b": b} for a, b in s] for s in both], dtype=object)
+        both = [merged([*held[0].scan(t.as_py())[1], *((x["a"], x["b"]) for x in was)]) for t, was in zip(body, old.to_pylist(), strict=True)]
+        return pa.array([[{"a": a, "b": b} for a, b in s] for s in both], _SPAN)
 
     return hits
 

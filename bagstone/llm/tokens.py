@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 from collections.abc import Callable
 
@@ -38,6 +39,27 @@ def _ranked(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+@functools.cache
+def _library(path: str) -> Callable[[str], list[int]]:
+    """The tokenizers library, which takes 30 MB: loaded once a text needs it."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(path)
+    return lambda text: exact.encode(text, add_special_tokens=False).ids
+
+
+def _special(path: str) -> list[str]:
+    """The strings of a vocabulary's special tokens, without reading the rest."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    key = '"added_tokens"'
+    at = text.find(key)
+    start = text.find("[", at + len(key)) if at >= 0 else -1
+    if start < 0 or text[at + len(key) : start].strip() != ":":
+        return []
+    return [t["content"] for t in json.JSONDecoder().raw_decode(text, start)[0]]
+
+
 @functools.cache
 def encoder(name_or_path: str = VOCABULARY) -> Callable[[str], list[int]]:
     """text -> ids, without special tokens added. Cached in each process."""
@@ -45,13 +67,10 @@ def encoder(name_or_path: str = VOCABULARY) -> Callable[[str], list[int]]:
     if path.endswith(".tiktoken"):
         fast = _ranked(path)
         return lambda text: fast.encode_ordinary(text)
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(path)
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not path.endswith(".json") or not os.path.exists(ranks):
-        return lambda text: exact.encode(text, add_special_tokens=False).ids
+        return _library(path)
+    special = _special(path)
     fast = _ranked(ranks)
 
     def encode(text: str) -> list[int]:
@@ -60,6 +79,6 @@ def encoder(name_or_path: str = VOCABULARY) -> Callable[[str], list[int]]:
                 return fast.encode_ordinary(text)
             except ValueError:  # over the matcher's limits
                 pass
-        return exact.encode(text, add_special_tokens=False).ids
+        return _library(path)(text)
 
     return encode

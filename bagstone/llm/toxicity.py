@@ -209,8 +209,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_fro
     """docs without the rejected ones; no shuffle."""
     least = model.reject_from if reject_from is None else reject_from
 
-    @F.pandas_udf(T.DoubleType())
+    @F.arrow_udf(T.DoubleType())
     def severity(body):
-        return body.map(lambda t: model.severity(bytes(t))[0]).astype(float)
+        return pa.array([model.severity(t.as_py())[0] for t in body], pa.float64())
 
     return docs.where(severity(text_bytes(text_col)) < least)

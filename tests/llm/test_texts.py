@@ -30,6 +30,14 @@ def test_encoder_equals_the_library(rows, exact):
         assert encode(text) == exact(text)
 
 
+def test_special_tokens_are_read_from_the_file():
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        found = Tokenizer.from_file(public.path(name)).get_added_tokens_decoder().values()
+        assert sorted(tokens._special(public.path(name))) == sorted(t.content for t in found) != []
+
+
 @settings(max_examples=400, deadline=None)
 @given(text=st.one_of(st.text(max_size=60), st.text(alphabet="aA1 .,\n\t'\u00e9\u4e2d\U0001f600<|>endoftext", max_size=80)))
 def test_encoder_equals_the_library_on_any_text(text, exact):
